@@ -1,0 +1,35 @@
+"""Connected components of an edge table, without collecting it.
+
+Labels start as node ids. A round takes each node's smallest label among its neighbours
+(a join and a map-side combined minimum), then the label of its label. Each round's
+labels go to the shared folder, so the plan doesn't grow and a lost executor costs a
+re-read. Rounds end when the sum of labels stays: labels only fall.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialize
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of ``links``: the smallest id that it reaches. Nulls and loops link nothing."""
+    pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+    edges = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    # The first round needs no join: the smallest neighbour's label is its id.
+    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    before = None
+    while True:
+        seen = labels.select(F.col("node").alias("v"), F.col("label").alias("l"))
+        offers = edges.join(seen.hint("merge"), "v").groupBy("u").agg(F.min("l").alias("offer"))
+        hooked = labels.join(offers.hint("merge"), labels.node == offers.u).select("node", F.least("label", "offer").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = materialize(hooked.join(jump.hint("merge"), "label", "left").select("node", F.least("label", "next").alias("component")), "labels")
+        total = after.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        discard(labels)
+        if total == before or total is None:
+            discard(edges)
+            return after
+        labels, before = after.withColumnRenamed("component", "label"), total

@@ -65,75 +65,85 @@ def squared_fill(bins: list[list[int]], lengths: list[int]) -> int:
 
 
 class LocalSearch:
-    """Swap-based local search over the underfull bins of one packing."""
+    """Swap-based local search over the underfull bins of one packing.
 
-    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
-        self.lengths, self.capacity = lengths, capacity
-        self.full, self.bins = [], []
+    Each step takes one piece or two out of a source bin, into a bin that is at least as
+    full, against nothing or one shorter piece, and picks the exchange that leaves the
+    target the smallest gap. ``steps`` bounds the search, not the packing: what it leaves
+    is a valid packing at any point.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int, steps: int | None = None):
+        self.capacity = capacity
+        self.full, loose = [], []
         for b in bins:
-            (self.full if sum(lengths[i] for i in b) == capacity else self.bins).append(list(b))
-        self.fill = [sum(lengths[i] for i in b) for b in self.bins]
-
-    def _put(self, source: int, target: int, out: list[int], back: list[int]) -> None:
-        n = self.lengths
-        for i in out:
-            self.bins[source].remove(i)
-        for i in back:
-            self.bins[target].remove(i)
-        self.bins[target] += out
-        self.bins[source] += back
-        moved = sum(n[i] for i in out) - sum(n[i] for i in back)
-        self.fill[target] += moved
-        self.fill[source] -= moved
-
-    def _step(self, source: int, targets: list[int]) -> bool:
-        """One improving step out of ``source`` into a bin at least as full, the one that leaves the least gap."""
-        n, mine = self.lengths, self.bins[source]
-        singles = {n[i]: [i] for i in mine}
+            (self.full if sum(lengths[i] for i in b) == capacity else loose).append(list(b))
+        self.bins = loose
+        self.pieces = [i for b in loose for i in b]
+        self.steps = 4 * len(self.pieces) if steps is None else steps
+        self.size = {i: lengths[i] for i in self.pieces}
+        self.fill = np.array([sum(lengths[i] for i in b) for b in loose], np.int64)
+        # One row per piece, then one per bin for plain moves (nothing comes back).
+        self.back = np.array([lengths[i] for i in self.pieces] + [0] * len(loose), np.int64)
+        self.home = np.array([k for k, b in enumerate(loose) for _ in b] + list(range(len(loose))), np.int64)
+        self.row = {i: r for r, i in enumerate(self.pieces)}
+
+    def _step(self, source: int) -> bool:
+        mine = self.bins[source]
+        outs = {self.size[i]: [i] for i in mine}
         pairs: dict[int, list[int]] = {}
         for a in range(len(mine)):
             for b in range(a):
-                pairs.setdefault(n[mine[a]] + n[mine[b]], [mine[a], mine[b]])
-        sizes1, sizes2 = sorted(singles), sorted(pairs)
-        best: tuple[int, int, list[int], list[int]] | None = None
-        for t in targets:
-            gap = self.capacity - self.fill[t]
-            if t == source or not gap or self.fill[t] < self.fill[source]:
+                pairs.setdefault(self.size[mine[a]] + self.size[mine[b]], [mine[a], mine[b]])
+        gap = (self.capacity - self.fill)[self.home]
+        open_rows = np.flatnonzero((gap > 0) & (self.home != source) & (self.fill[self.home] >= self.fill[source]))
+        if not len(open_rows):
+            return False
+        gap, back = gap[open_rows], self.back[open_rows]
+        room = gap + back
+        best: tuple[int, int, list[int]] | None = None
+        for own, swap_only in ((outs, False), (pairs, True)):
+            if not own:
                 continue
-            held = {n[i]: i for i in self.bins[t]}
-            tries = [(sizes1, singles, 0, [])]
-            tries += [(sizes, own, size, [i]) for size, i in held.items() for sizes, own in ((sizes1, singles), (sizes2, pairs))]
-            for sizes, own, size, back in tries:
-                at = bisect.bisect_right(sizes, gap + size) - 1
-                if at >= 0 and (gain := sizes[at] - size) > 0 and (best is None or gap - gain < best[0]):
-                    best = (gap - gain, t, own[sizes[at]], back)
-                    if best[0] == 0:
-                        break
-            if best and best[0] == 0:
-                break
+            sizes = np.array(sorted(own), np.int64)
+            at = np.searchsorted(sizes, room, "right") - 1
+            out = sizes[np.maximum(at, 0)]
+            good = (at >= 0) & (out > back)
+            if swap_only:
+                good &= back > 0
+            rest = np.where(good, room - out, self.capacity + 1)
+            k = int(rest.argmin())
+            if rest[k] <= self.capacity and (best is None or rest[k] < best[0]):
+                best = (int(rest[k]), int(open_rows[k]), own[int(out[k])])
         if best is None:
             return False
-        self._put(source, best[1], best[2], best[3])
+        _, r, leaving = best
+        target = int(self.home[r])
+        coming = [self.pieces[r]] if r < len(self.pieces) else []
+        for i, old, new in [(i, source, target) for i in leaving] + [(i, target, source) for i in coming]:
+            self.bins[old].remove(i)
+            self.bins[new].append(i)
+            self.home[self.row[i]] = new
+            self.fill[old] -= self.size[i]
+            self.fill[new] += self.size[i]
         return True
 
-    def _kinds(self, twice: bool) -> list[int]:
-        """Bins that can still change, emptiest first; of bins with equal lengths in them one (or two) stand for all."""
-        seen: dict[tuple[int, ...], int] = {}
-        found = []
-        for b in sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b)):
-            kind = tuple(sorted(self.lengths[i] for i in self.bins[b]))
-            seen[kind] = seen.get(kind, 0) + 1
-            if seen[kind] <= 1 + twice:
-                found.append(b)
-        return found
-
     def run(self) -> list[list[int]]:
-        """Steps until none improves or the bins are as few as their content allows."""
-        least = -(-sum(self.fill) // self.capacity)
-        while sum(map(bool, self.bins)) > least:
-            targets = self._kinds(twice=True)[::-1]
-            if not any(self._step(source, targets) for source in self._kinds(twice=False)):
-                break
+        """Passes over the sources, emptiest first, until no step improves, bins are as few as can be, or steps run out."""
+        least = -(-int(self.fill.sum()) // self.capacity)
+        improved = True
+        while improved and self.steps > 0 and sum(map(bool, self.bins)) > least:
+            improved, failed = False, set()
+            for source in np.argsort(self.fill, kind="stable").tolist():
+                if not 0 < self.fill[source] < self.capacity:
+                    continue
+                kind = tuple(sorted(self.size[i] for i in self.bins[source]))
+                if kind in failed:
+                    continue
+                while self.bins[source] and self.steps > 0 and self._step(source):
+                    improved, self.steps = True, self.steps - 1
+                    failed.clear()
+                failed.add(kind)
         return self.full + [b for b in self.bins if b]
 
 

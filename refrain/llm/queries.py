@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, records, token_counts
+from . import near_duplicates, packing, records, token_counts
 from .common import fresh_dir, table
 
 
@@ -22,6 +22,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(index, out, checks_only=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -31,7 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_records, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_token_records, op7_near_duplicates, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
