@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_duplicates, packing, records, token_counts
+from . import language_id, line_templates, near_duplicates, packing, records, token_counts, toxicity
 from .common import fresh_dir, table
 
 
@@ -16,16 +17,33 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
+    return toxicity.score(docs.select("doc_id", "text"), chain, reject="toxic").drop("text")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_dir(spark, "records")
     index = records.write_records(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return records.read_records(index, out, checks_only=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = language_id.identify(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -35,8 +53,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_records, op7_near_duplicates, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_records, op6_line_templates, op7_near_duplicates, op8_language_id, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_templates": line_templates.ORACLE_SQL}
