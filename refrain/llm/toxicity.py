@@ -34,6 +34,8 @@ from .tokenization import slices
 
 FOLDS = 5
 FEATURES = 1500
+#: Least chi-squared statistic of a feature: with a million candidates, fewer than one passes by chance.
+LEAST_CHI = 25
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+~`^/\\"
 
 
@@ -140,7 +142,7 @@ class _Bags:
         expected = n * positive / max(total, 1)
         chi = np.where(n >= least, (a - expected) ** 2 / np.maximum(expected * (1 - positive / max(total, 1)), 1e-9), 0)
         order = np.lexsort((np.arange(len(chi)), -chi))[:k]
-        return order[chi[order] > 3.84]
+        return order[chi[order] > LEAST_CHI]
 
     def matrix(self, features: np.ndarray, n: int) -> np.ndarray:
         column = np.full(len(self.names), -1)
