@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, line_templates, near_duplicates, packing, records, token_counts, toxicity
+from . import decontamination, html_text, language_id, line_templates, near_duplicates, packing, records, token_counts, toxicity
 from .common import fresh_dir, table
 
 
@@ -33,6 +33,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
 
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_token_records, op4_html_text, op6_line_templates, op7_near_duplicates, op8_language_id, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_records, op4_html_text, op5_decontamination, op6_line_templates, op7_near_duplicates, op8_language_id, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
