@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, line_templates, near_duplicates, packing, records, token_counts, toxicity
+from . import decontamination, html_text, language_id, line_templates, metric_search, near_duplicates, packing, records, token_counts, toxicity
 from .common import fresh_dir, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
@@ -61,8 +65,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_token_records, op4_html_text, op5_decontamination, op6_line_templates, op7_near_duplicates, op8_language_id, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_metric_search, op2_toxicity, op3_token_records, op4_html_text, op5_decontamination, op6_line_templates, op7_near_duplicates, op8_language_id, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_templates": line_templates.ORACLE_SQL}
+    return {"op1_metric_search": metric_search.ORACLE_SQL, "op6_line_templates": line_templates.ORACLE_SQL}
