@@ -229,18 +229,18 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
     idf32 = idf.astype(np.float32)
     groups = []
     for below, s in zip((0, *SCALES), SCALES, strict=False):
-        own = [i for i in bench.items if below < len(i.words) <= s]
+        rows = [r for r, i in enumerate(bench.items) if below < len(i.words) <= s]
+        own = [bench.items[r] for r in rows]
         if own:
             q = np.array([vectors[i.words].sum(axis=0) for i in own])
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
             mass = np.array([idf32[i.words].sum() for i in own], np.float32)
-            groups.append((s, own, q.astype(np.float32), mass, [masks(i.words) for i in own], [masks(i.answer) for i in own]))
+            groups.append((s, own, np.array(rows), q.astype(np.float32), mass, [masks(i.words) for i in own], [masks(i.answer) for i in own]))
 
     v = len(idf)
     member = np.zeros((len(bench.items), v + 1), bool)
     for i, item in enumerate(bench.items):
         member[i, item.words] = True
-    place = {id(item): i for i, item in enumerate(bench.items)}
     edge = PASSAGE // 2
     vectors0 = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)]).astype(np.float32)
     idf0 = np.append(idf32, np.float32(0))
@@ -281,11 +281,10 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
             place_in = np.arange(total) - first[of]
             padded = np.append(ids, np.full(1, -1, kind))
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for scale, own, queries, masses, patterns, answers in groups:
+            for scale, own, which, queries, masses, patterns, answers in groups:
                 k = scale // STRIDE
                 weight = mass[k]
                 heavy = np.flatnonzero((weight >= LEAST_MASS * masses.min()) & (place_in % max(1, k // 4) == 0))
-                which = np.array([place[id(i)] for i in own])
                 need = np.array([needed(i) for i in own])
                 for low in range(0, len(heavy), 2048):
                     at = heavy[low : low + 2048]
