@@ -28,12 +28,18 @@ from .common import materialize
 WILDCARD = "<*>"
 #: A token that varies between lines of one template holds a digit, "@" or "://". Written without backtracking.
 VARIABLE = r"(^| )[^ 0-9@:]*+(?::(?!//)[^ 0-9@:]*+)*+(?:[0-9@]|://)[^ ]*+"
-SPACE = r"[ \t\r\f\x0B]+"
+#: White space that isn't one space already.
+SPACE = r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]"
+HAS_VARIABLE = r"[0-9@]|://"
 
 
-def template(line: Column) -> Column:
-    """The line with one space between tokens and variable fields generalised."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), VARIABLE, "$1" + WILDCARD)
+def spaced(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, SPACE, " "))
+
+
+def generalised(line: Column) -> Column:
+    """A line with one space between tokens, its variable fields replaced."""
+    return F.when(line.rlike(HAS_VARIABLE), F.regexp_replace(line, VARIABLE, "$1" + WILDCARD)).otherwise(line)
 
 
 def token_count(made: Column) -> Column:
@@ -54,22 +60,25 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     """``docs`` with recurring lines removed from ``text_col``, and ``n_dropped``, the lines removed (replaces a column of that name)."""
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     lines = F.split(text, "\n", -1)
-    keys = F.transform(F.transform(lines, template), lambda made: template_key(made, depth, min_tokens))
-    seen = docs.select(key.alias("doc"), F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("k"))
-    # Rows that share an id are one document, so (template, document) pairs are made distinct.
-    pairs = materialize(seen.distinct(), "lines")
+    # Nested transforms: each lambda refers to its value more than once, and computes it once.
+    keys = F.transform(F.transform(F.transform(lines, spaced), generalised), lambda made: template_key(made, depth, min_tokens))
+    seen = docs.select(key.alias("doc"), F.posexplode(keys).alias("pos", "k")).filter(F.col("k").isNotNull())
+    # Rows that share an id are one document; so are a template's repeats inside one.
+    pairs = materialize(seen.groupBy("k", "doc").agg(F.collect_set("pos").alias("places")), "lines")
     found = pairs.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNotNull().alias("known"), F.col("doc").alias("doc")))["doc"].alias("first"))
-    recurring = found.filter(F.col("n") >= min_docs).select("k", "first")
-    hits = pairs.join(recurring.hint("merge"), "k").filter(~F.col("doc").eqNullSafe(F.col("first")))
-    dropped = hits.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("k").alias("__gone"))
+    recurring = found.filter(F.col("n") >= min_docs).select(F.col("k").alias("rk"), "first")
+    hits = pairs.join(recurring.hint("merge"), F.col("k") == F.col("rk")).filter(~F.col("doc").eqNullSafe(F.col("first")))
+    dropped = hits.groupBy(F.col("doc").alias("__doc")).agg(F.flatten(F.collect_list("places")).alias("__gone"))
     joined = docs.alias("__in").join(dropped.hint("merge").alias("__out"), key.eqNullSafe(F.col("__out.__doc")), "left")
-    gone = F.col("__out.__gone")
-    own = F.col(f"__in.`{text_col}`")
-    kept = F.filter(F.split(own, "\n", -1), lambda line: ~F.coalesce(F.array_contains(gone, template_key(template(line), depth, min_tokens)), F.lit(False)))
-    new = F.when(gone.isNull(), own).otherwise(F.array_join(kept, "\n"))
-    columns = [(new if c == text_col else F.col(f"__in.`{c}`")).alias(c) for c in docs.columns if c != "n_dropped"]
-    count = F.when(own.isNull() | gone.isNull(), 0).otherwise(F.size(F.split(own, "\n", -1)) - F.size(kept))
-    return joined.select(*columns, count.cast("long").alias("n_dropped"))
+    # Columns of their own, since a lambda would compute a shared expression anew for every element.
+    named = [F.col(f"__in.`{c}`") for c in docs.columns if c != "n_dropped"]
+    whole = joined.select(*named, F.col("__out.__gone").alias("__gone"), F.split(F.col(f"__in.`{text_col}`"), "\n", -1).alias("__lines"))
+    placed = whole.withColumn("__places", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
+    places, own = F.col("__places"), F.col(f"`{text_col}`")
+    new = F.when(places.isNull(), own).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n"))
+    columns = [(new.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns if c != "n_dropped"]
+    count = F.when(places.isNull(), 0).otherwise(F.size("__lines") - F.size(places))
+    return placed.select(*columns, count.cast("long").alias("n_dropped"))
 
 
 ORACLE_SQL = r"""
