@@ -104,9 +104,9 @@ def confidence(variance: Column, n: Column) -> Column:
 
 
 def adaptive_threshold(base: float, complexity: Column, motion: Column, color_variance: Column) -> Column:
-    """S-20: lower for complex material, within [0.5, 0.95]."""
+    """S-20: lower for complex material, within [0.5, 0.95]; the base without material."""
     lowered = base - 0.1 * (0.3 * complexity + 0.4 * motion + 0.3 * color_variance)
-    return F.coalesce(F.greatest(F.lit(0.5), F.least(F.lit(0.95), lowered)), F.lit(base))
+    return F.when(lowered.isNull(), F.lit(base)).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(0.95), lowered)))
 
 
 def time_shifted(starts: Column) -> Column:
