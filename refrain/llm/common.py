@@ -7,13 +7,16 @@ names) never reach a join.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..storage import discard, fresh_dir, materialize, shared_dir
+
+__all__ = ["columns", "discard", "fresh_dir", "materialize", "shared_dir", "table", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,43 +28,11 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").cast(kind).alias(new) for new, (old, kind) in wanted.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_code.isDefined():
-        return set_by_code.get().rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='refrain-')}"
-    return _OWN[app]
-
-
-def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/refrain-{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a re-computation.
-    """
-    path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a :func:`materialize` result that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/refrain-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive tasks, and executors count what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
