@@ -152,24 +152,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         sketches.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     exploded = classes.select("rep", "n", "digest", F.explode("bands").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("size > 1 and hub < far")
-    members = materialize(exploded.join(buckets.select("bucket", "hub", "size").hint("merge"), "bucket"), "members")
-    wanted = members.groupBy("rep").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.min("hub").alias("hub"))
-    wanted = materialize(wanted, "wanted")
+    buckets = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", F.col("n").alias("hub_n"))).alias("low"), F.max("rep").alias("far"))
+    buckets = buckets.select("bucket", "size", F.col("low.rep").alias("hub"), F.col("low.hub_n").alias("hub_n"), "far").filter("size > 1 and hub < far")
+    members = materialize(exploded.join(buckets.drop("far").hint("merge"), "bucket"), "members")
+    wanted = members.groupBy("rep").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.min(F.struct("hub", "hub_n")).alias("low"))
+    wanted = materialize(wanted.select("rep", "digest", "n", F.col("low.hub").alias("hub"), F.col("low.hub_n").alias("hub_n")), "wanted")
     sets = materialize(full_sets(docs, wanted.select("rep", "digest"), words), "sets")
-    sized = wanted.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
 
-    first = wanted.filter("hub < rep").join(sized.hint("merge"), "hub").filter(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    first = wanted.filter("hub < rep").filter(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     links = materialize(verified(first, sets, percent), "links")
     comps = components(links)
     left = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     right = comps.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
-    again = members.filter("hub < rep").select("hub", "rep", "n").distinct()
+    again = members.filter("hub < rep").select("hub", "hub_n", "rep", "n").filter(fits).distinct()
     again = again.join(wanted.select("rep", F.col("hub").alias("tried")).hint("merge"), "rep").filter("hub <> tried")
-    again = again.join(left.hint("merge"), "rep", "left").join(right.hint("merge"), "hub", "left").join(sized.hint("merge"), "hub")
-    again = again.filter(fits & (F.coalesce("comp", "rep") != F.coalesce("hub_comp", "hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    more = materialize(verified(again, sets, percent), "links")
+    again = again.join(left.hint("merge"), "rep", "left").join(right.hint("merge"), "hub", "left")
+    again = again.filter((F.coalesce("comp", "rep") != F.coalesce("hub_comp", "hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    # Written first, so that the join with the sets deals its rows anew and can split hot hubs.
+    more = materialize(verified(materialize(again, "pairs"), sets, percent), "links")
     links = links.unionByName(more)
     if not more.isEmpty():
         comps = components(links)
