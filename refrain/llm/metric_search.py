@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARD_ROWS = 8192
-PAGE, FANOUT = 256, 16
+PAGE, FANOUT = 1024, 16
 QUERY_BLOCK = 512
 SLACK = 1e-6
 
@@ -119,10 +119,10 @@ def build(points: np.ndarray, seed: int = 1) -> Tree:
 def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int, norm2: int) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, id), best first, and how many inner products it took. ``vectors``, ``ids``: in page order."""
     point = np.append(query, 0).astype(float)
-    base = float(query @ query) + norm2
+    base = float(query.astype(float) @ query.astype(float)) + norm2
     heap = [(0.0, 0, float(_distances(tree.routing[0], point)))]
     scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
-    tau, work = np.inf, 0
+    tau, least, work = np.inf, 0, 0
     while heap:
         bound, node, to_node = heapq.heappop(heap)
         if bound > tau:
@@ -133,16 +133,21 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
             d = tree.row_distance[low:high]
             a, b = np.searchsorted(d, [to_node - tau, to_node + tau]) if tau < np.inf else (0, len(d))
             own = slice(low + int(a), low + int(b))
-            mine = ids[own]
             s = vectors[own] @ query
             work += len(s)
+            # Few entries reach the k-th best so far; only they are merged.
+            rows = np.flatnonzero(s >= least) if len(scores) == k else np.arange(len(s))
+            if len(rows) > 4 * k:
+                rows = rows[s[rows] >= np.partition(s[rows], -k - 1)[-k - 1]]
+            mine = ids[low + int(a) + rows]
             keep = mine != query_id
-            scores, found = np.append(scores, s[keep]), np.append(found, mine[keep])
+            scores, found = np.append(scores, s[rows[keep]].astype(np.int64)), np.append(found, mine[keep])
             if len(scores) > k:
                 order = np.lexsort((found, -scores))[:k]
                 scores, found = scores[order], found[order]
             if len(scores) == k:
-                tau = float(np.sqrt(max(base - 2 * int(scores.min()), 0))) + SLACK
+                least = int(scores.min())
+                tau = float(np.sqrt(max(base - 2 * least, 0))) + SLACK
             continue
         kids = np.arange(low, high)
         far = np.abs(to_node - tree.to_parent[low:high]) - tree.radius[low:high]
@@ -206,8 +211,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             held = right.iloc[0]
             tree = Tree.unpack([held[f] for f in fields], width + 1)
             ids, own = np.frombuffer(held["ids"], np.int64), np.frombuffer(held["v"], np.int64).reshape(-1, width)
-            # Inner products of integers this small are exact in doubles, and faster.
-            exact = own.astype(float) if norm2 < 1 << 52 else own
+            # No partial sum exceeds the product of two norms, so floats that hold norm2 exactly hold all of them.
+            exact = own.astype(np.float32 if norm2 < 1 << 24 else np.float64 if norm2 < 1 << 52 else np.int64)
             for query_id, q in zip(left["query_id"].tolist(), matrix(left["v"]), strict=True):
                 best, _ = search(tree, exact, ids, q.astype(exact.dtype), query_id, k, norm2)
                 out += [(query_id, vec_id, int(score)) for score, vec_id in best]
