@@ -26,25 +26,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim
 from .tokenization import slices
 
 FOLDS = 5
-FEATURES = 1500
+FEATURES = 800
 #: Least chi-squared statistic of a feature: with a million candidates, fewer than one passes by chance.
 LEAST_CHI = 25
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+~`^/\\"
 
 
-def word_features(word: str) -> list[str]:
-    """The features that one word of a text gives."""
+def word_features(word: str) -> list[int]:
+    """The features that one word of a text gives, as 64-bit hashes."""
     word = word.strip(MARKS)
     if not word:
         return []
-    return [f"w{word}"] + [f"{k}{word[:k]}" for k in (4, 5) if len(word) > k]
+    names = [f"w{word}"] + [f"{k}{word[:k]}" for k in (4, 5) if len(word) > k]
+    return [xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in names]
 
 
 def _distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def _distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
 class Linear:
     """Weights by feature, one weight per earlier category, and a bias."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     earlier: list[float] = field(default_factory=list)
     bias: float = -50.0
 
@@ -73,7 +75,7 @@ class Chain:
     models: list[Linear]
     thresholds: list[float]
 
-    def predict(self, batch: pa.Array, memo: dict[str, list[tuple[int, int]]], columns: dict[str, int], weights: np.ndarray) -> np.ndarray:
+    def predict(self, batch: pa.Array, memo: dict[str, list[int]], columns: dict[int, int], weights: np.ndarray) -> np.ndarray:
         """Probabilities (text, category). ``columns`` and ``weights`` are :meth:`table`'s."""
         words, owner, index = _distinct_words(batch)
         hit = np.zeros(len(words), bool)
@@ -96,41 +98,43 @@ class Chain:
             out[:, c] = model.score(own[:, c], out[:, :c])
         return out
 
-    def table(self) -> tuple[dict[str, int], np.ndarray]:
+    def table(self) -> tuple[dict[int, int], np.ndarray]:
         names = sorted({f for m in self.models for f in m.weights})
         weights = np.array([[m.weights.get(f, 0.0) for m in self.models] for f in names]).reshape(len(names), len(self.models))
         return {f: i for i, f in enumerate(names)}, weights
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> np.ndarray:
-    """Weights of [x, 1] by accelerated full-batch gradient descent."""
+    """Weights of [x, 1] by accelerated full-batch gradient descent.
+
+    Each coordinate's step is the inverse of a bound on its curvature (inputs are not
+    negative), so rare features move as fast as common ones.
+    """
     n, d = x.shape
-    curvature = 0.25 * (np.square(x).sum(axis=1).max(initial=0) + 1) + l2
-    rate = 4.0 / curvature
+    reach = x.sum(axis=1) + 1
+    step = 1 / np.append(0.25 * (x.T @ reach) / n + l2 / n, 0.25 * reach.mean()).astype(np.float32)
     w = np.zeros(d + 1, np.float32)
-    rates = np.clip(y.mean(), 1e-4, 1 - 1e-4)
-    w[-1] = np.log(rates / (1 - rates))
+    rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    w[-1] = np.log(rate / (1 - rate))
     last = w.copy()
     for t in range(steps):
         v = w + (t / (t + 3)) * (w - last)
         g = 1 / (1 + np.exp(-np.clip(x @ v[:-1] + v[-1], -30, 30))) - y
         grad = np.append(x.T @ g, g.sum()).astype(np.float32) / n
         grad[:-1] += l2 / n * v[:-1]
-        w, last = v - rate * grad, w
+        w, last = v - step * grad, w
     return w
 
 
 class _Bags:
     """Feature sets of the sampled rows, by feature id."""
 
-    def __init__(self, bags: list[list[str]]):
-        self.names = sorted({f for b in bags for f in b})
-        ids = {f: i for i, f in enumerate(self.names)}
-        self.row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        self.feature = np.array([ids[f] for b in bags for f in b], np.int64)
+    def __init__(self, features: np.ndarray, row: np.ndarray):
+        self.names, self.feature = np.unique(features, return_inverse=True)
+        self.row = row
 
     def telling(self, rows: np.ndarray, y: np.ndarray, k: int, least: int = 4) -> np.ndarray:
-        """The ``k`` features with the largest chi-squared statistic in ``rows``; ties by name."""
+        """The ``k`` features with the largest chi-squared statistic in ``rows``; ties by hash."""
         inside = np.full(int(rows.max(initial=0)) + 1, -1)
         inside[rows] = np.arange(len(rows))
         known = self.row < len(inside)
@@ -144,11 +148,13 @@ class _Bags:
         order = np.lexsort((np.arange(len(chi)), -chi))[:k]
         return order[chi[order] > LEAST_CHI]
 
-    def matrix(self, features: np.ndarray, n: int) -> np.ndarray:
+    def matrix(self, features: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
+        """One column per feature, then the earlier categories' probabilities."""
         column = np.full(len(self.names), -1)
         column[features] = np.arange(len(features))
         c = column[self.feature]
-        x = np.zeros((n, len(features)), np.float32)
+        x = np.zeros((n, len(features) + earlier.shape[1]), np.float32)
+        x[:, len(features) :] = earlier
         x[self.row[c >= 0], c[c >= 0]] = 1
         return x
 
@@ -162,18 +168,17 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], l2: float = 1.0) -> tuple[Chain, np.ndarray]:
-    """The chain, and its out-of-fold probabilities. ``labels``: category -> 0, 1 or NaN for each row, in chain order."""
-    n = len(bags)
-    store, fold = _Bags(bags), np.arange(n) % FOLDS
+def fit_chain(features: np.ndarray, row: np.ndarray, n: int, labels: dict[str, np.ndarray], l2: float = 0.03) -> tuple[Chain, np.ndarray]:
+    """The chain, and its out-of-fold probabilities. ``labels``: category -> 0, 1 or NaN for each of ``n`` rows, in chain order."""
+    store, fold = _Bags(features, row), np.arange(n) % FOLDS
     chain, earlier = Chain([], [], []), np.zeros((n, 0))
     for category, y in labels.items():
         known = ~np.isnan(y)
 
         def train(rows: np.ndarray, y: np.ndarray = y, earlier: np.ndarray = earlier) -> tuple[np.ndarray, np.ndarray]:
-            features = store.telling(rows, y[rows], FEATURES)
-            x = np.hstack([store.matrix(features, n), earlier]).astype(np.float32)
-            return features, _logistic(x[rows], y[rows].astype(np.float32), l2)
+            picked = store.telling(rows, y[rows], FEATURES)
+            x = store.matrix(picked, n, earlier)
+            return picked, _logistic(x if len(rows) == n else x[rows], y[rows].astype(np.float32), l2)
 
         out = np.zeros(n)
         rows = np.flatnonzero(known)
@@ -182,12 +187,12 @@ def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], l2: float =
                 inside = rows[fold[rows] != k]
                 if not len(inside):
                     continue
-                features, w = train(inside)
-                x = np.hstack([store.matrix(features, n), earlier])[fold == k]
+                picked, w = train(inside)
+                x = store.matrix(picked, n, earlier)[fold == k]
                 out[fold == k] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50)))
-            features, w = train(rows)
-            m = len(features)
-            model = Linear({store.names[f]: float(v) for f, v in zip(features, w[:m], strict=True)}, [float(v) for v in w[m:-1]], float(w[-1]))
+            picked, w = train(rows)
+            m = len(picked)
+            model = Linear({int(store.names[f]): float(v) for f, v in zip(picked, w[:m], strict=True)}, [float(v) for v in w[m:-1]], float(w[-1]))
             threshold = _best_threshold(out[rows], y[rows])
         else:
             base = float(y[rows].mean()) if len(rows) else 0.0
@@ -200,7 +205,7 @@ def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], l2: float =
     return chain, earlier
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit the chain on at most ``sample`` labelled rows. ``categories``: name -> boolean expression over ``labels``, in chain order."""
     label = labels.select(F.col(id_col).cast("long").alias("doc"), *[e.cast("int").alias(c) for c, e in categories.items()]).filter("doc is not null")
     label = label.groupBy("doc").agg(*[F.max(c).alias(c) for c in categories])
@@ -211,19 +216,25 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
         for batch in slices(batches, 1):
             words, owner, index = _distinct_words(batch.column(1))
             per_word = [word_features(w) for w in words]
-            bags: list[set[str]] = [set() for _ in range(batch.num_rows)]
+            bags: list[set[int]] = [set() for _ in range(batch.num_rows)]
             for text, w in zip(owner.tolist(), index.tolist(), strict=True):
                 bags[text].update(per_word[w])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(b) for b in bags], pa.list_(pa.string())), *batch.columns[2:]], names=["doc", "bag", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(b) for b in bags], pa.list_(pa.int64())), *batch.columns[2:]], names=["doc", "bag", *names])
 
     kinds = ", ".join(f"`{c}` int" for c in names)
     joined = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(picked), "doc")
     # Only features of at least four sampled rows can be chosen; the rest stays on the executors.
-    bags = joined.select("doc", "text", *names).mapInArrow(bag, f"doc long, bag array<string>, {kinds}")
-    rows = _frequent(bags, names).toArrow().to_pydict()
-    order = np.argsort(np.array(rows["doc"], np.int64), kind="stable")
-    columns = {c: np.array([np.nan if rows[c][i] is None else rows[c][i] for i in order], float) for c in categories}
-    return fit_chain([rows["bag"][i] for i in order], columns)[0]
+    bags = joined.select("doc", "text", *names).mapInArrow(bag, f"doc long, bag array<long>, {kinds}")
+    rows = _frequent(bags, names).toArrow().combine_chunks()
+    rows = rows.take(pc.sort_indices(rows["doc"]))
+    bag = rows["bag"].combine_chunks()
+    n = len(rows)
+    columns = {c: np.array([np.nan if v is None else v for v in rows[c].to_pylist()], float) for c in names}
+    counts = pc.list_value_length(bag).to_numpy(zero_copy_only=False).astype(np.int64) if n else np.empty(0, np.int64)
+    chain = fit_chain(bag.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), counts), n, columns)[0]
+    del rows, bag
+    trim()
+    return chain
 
 
 def _frequent(bags: DataFrame, categories: list[str], least: int = 4) -> DataFrame:
@@ -231,7 +242,7 @@ def _frequent(bags: DataFrame, categories: list[str], least: int = 4) -> DataFra
     pairs = bags.select("doc", F.explode("bag").alias("f"))
     often = pairs.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("f")
     kept = pairs.join(often, "f").groupBy("doc").agg(F.collect_set("f").alias("bag"))
-    return bags.drop("bag").dropDuplicates(["doc"]).join(kept, "doc", "left").select("doc", F.sort_array(F.coalesce("bag", F.array().cast("array<string>"))).alias("bag"), *categories)
+    return bags.drop("bag").dropDuplicates(["doc"]).join(kept, "doc", "left").select("doc", F.sort_array(F.coalesce("bag", F.array().cast("array<bigint>"))).alias("bag"), *categories)
 
 
 def score(docs: DataFrame, chain: Chain, reject: str, text_col: str = "text") -> DataFrame:
