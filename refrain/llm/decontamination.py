@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, materialize
+from .common import columns, discard, materialize, trim
 from .tokenization import slices
 
 PASSAGE, STRIDE = 32, 8
@@ -347,6 +347,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         coded = materialize(encode(docs, bench.vocabulary), "coded")
         df, passages = frequencies(coded, v, kind)
         idf = np.log((passages + 1) / (df + 1)) + 0.1
+        trim()
         hits = materialize(_search(coded, bench, idf, latent_terms(coded, idf, kind), kind), "leaks")
         discard(coded)
         found = found.unionByName(hits)
