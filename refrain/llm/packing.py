@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, materialize
-from .tokenization import encoder, joined_ids, slices
+from .tokenization import ENCODE_BYTES, encoder, joined_ids, slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BLOCK_PIECES = 8192
@@ -156,7 +156,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, ENCODE_BYTES):
             ids, bounds = joined_ids(*coder.encode(batch.column(1)), end_id)
             data = memoryview(ids).cast("B")
             row, piece, start, length, crc = [], [], [], [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns
-from .tokenization import encoder, joined_ids, slices
+from .tokenization import ENCODE_BYTES, encoder, joined_ids, slices
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id
         final = f"{folder}/shard-{shard:06d}.rec"
         draft = f"{folder}/.shard-{shard:06d}.{attempt}"
         coder, sink, offset, record, before = encoder(tokenizer), None, 0, 0, 0
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, ENCODE_BYTES):
             if sink is None:
                 sink = files.open_output_stream(draft)
             ids, bounds = joined_ids(*coder.encode(batch.column(1)), end_id)

@@ -20,8 +20,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_WORDS = 400_000
+from .common import trim
+
+MEMO_WORDS = 600_000
 MEMO_CHARS = 48
+#: Text that is encoded together: the more, the fewer distinct words are looked up.
+ENCODE_BYTES = 10 << 20
+TAILS = (",", ".")
 #: Texts of the byte-level kind that may not be cut at each space: long runs of white space, runs at the end, other
 #: white space or control characters.
 _UNCUTTABLE = r"[ \n]{3}|[ \n]{2}\z|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -68,6 +73,14 @@ def version_digest(path: str) -> str:
     return h.hexdigest()
 
 
+def _bare(word: str) -> str:
+    """``word`` without a final comma or full stop that is surely a piece of its own.
+
+    The letters before it are limited to those whose lower case and composed form end in a letter too.
+    """
+    return word[:-1] if word[-1:] in TAILS and "0" <= word[-2:-1] < "\u0130" and word[-2].isalnum() else word
+
+
 class Encoder:
     """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False).ids``."""
 
@@ -97,16 +110,28 @@ class Encoder:
 
     def _looked_up(self, words: list[str]) -> list[bytes]:
         memo = self.memo
-        found = [memo.get(w) for w in words]
+        found = list(map(memo.get, words))
         at = [i for i, x in enumerate(found) if x is None]
-        if at:
-            unseen = [words[i] for i in at]
-            room = MEMO_WORDS - len(memo)
-            for i, w, ids in zip(at, unseen, self._library(unseen), strict=True):
-                found[i] = ids
-                if room > 0 and len(w) <= MEMO_CHARS:
+        if not at:
+            return found
+        # A final comma or full stop behind a plain letter or digit is a piece of its own, so such
+        # a word is looked up without it.
+        bares = [_bare(words[i]) for i in at]
+        unseen = dict.fromkeys(bares)
+        for w in [w for w in unseen if w in memo]:
+            del unseen[w]
+        unseen.update(dict.fromkeys(t for t in TAILS if t not in memo))
+        made = dict(zip(unseen, self._library(list(unseen)), strict=True)) if unseen else {}
+        tails = {t: made[t] if t in made else memo[t] for t in TAILS}
+        for i, bare in zip(at, bares, strict=True):
+            ids = made[bare] if bare in made else memo[bare]
+            found[i] = ids + tails[words[i][-1]] if len(words[i]) > len(bare) else ids
+        room = MEMO_WORDS - len(memo)
+        if room > 0:
+            for w, ids in made.items():
+                if len(w) <= MEMO_CHARS:
                     memo[w] = ids
-                    room -= 1
+            # One batch may overshoot the bound by its own distinct words.
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +141,7 @@ class Encoder:
         coded = chunks.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
         pieces = self._looked_up(coded.dictionary.to_pylist())
-        size = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         flat = np.frombuffer(b"".join(pieces), "<u4")
         sizes = size[index]
         ends = np.cumsum(sizes)
@@ -152,6 +177,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 6 <<
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
 
 
 def joined_ids(batch_ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
