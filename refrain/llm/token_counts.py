@@ -26,8 +26,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
-from .tokenization import encoder, slices, version_digest
+from .common import columns, materialize
+from .tokenization import ENCODE_BYTES, encoder, slices, version_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -50,7 +50,7 @@ def token_counts(docs: DataFrame, cache_dir: str, tokenizer: str, id_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, ENCODE_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * batch.num_rows), batch.column(0), pa.array(coder.encode(batch.column(1))[1], pa.int64())],
                 names=["version", "digest", "n_tokens"],
@@ -62,6 +62,7 @@ def token_counts(docs: DataFrame, cache_dir: str, tokenizer: str, id_col: str =
     distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known, "digest", "left_anti").select("digest", "text")
     misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
-    counts = _read_cache(spark, cache_dir, version)
+    # A table of its own: both sides of the join are then dealt by it, and a hot digest can be split.
+    counts = materialize(_read_cache(spark, cache_dir, version), "counts")
     keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return keyed.join(counts.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
