@@ -75,15 +75,15 @@ class Chain:
     models: list[Linear]
     thresholds: list[float]
 
-    def predict(self, batch: pa.Array, memo: dict[str, list[int]], columns: dict[int, int], weights: np.ndarray) -> np.ndarray:
+    def predict(self, batch: pa.Array, memo: dict[str, tuple[int, ...]], columns: dict[int, int], weights: np.ndarray) -> np.ndarray:
         """Probabilities (text, category). ``columns`` and ``weights`` are :meth:`table`'s."""
         words, owner, index = _distinct_words(batch)
         hit = np.zeros(len(words), bool)
-        features: list[list[int]] = []
+        features: list[tuple[int, ...]] = []
         for i, w in enumerate(words):
             got = memo.get(w)
             if got is None:
-                got = [columns[f] for f in word_features(w) if f in columns]
+                got = tuple(columns[f] for f in word_features(w) if f in columns)
                 if len(memo) < 300_000:
                     memo[w] = got
             features.append(got)
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     names = list(categories)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 2 << 20):
             words, owner, index = _distinct_words(batch.column(1))
             per_word = [word_features(w) for w in words]
             bags: list[set[int]] = [set() for _ in range(batch.num_rows)]
