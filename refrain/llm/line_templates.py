@@ -65,8 +65,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     seen = docs.select(key.alias("doc"), F.posexplode(keys).alias("pos", "k")).filter(F.col("k").isNotNull())
     # Rows that share an id are one document; so are a template's repeats inside one.
     pairs = materialize(seen.groupBy("k", "doc").agg(F.collect_set("pos").alias("places")), "lines")
-    found = pairs.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNotNull().alias("known"), F.col("doc").alias("doc")))["doc"].alias("first"))
-    recurring = found.filter(F.col("n") >= min_docs).select(F.col("k").alias("rk"), "first")
+    found = pairs.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNull().alias("unknown"), F.col("doc").alias("doc")))["doc"].alias("first"))
+    # A table of its own: both sides of the join are then dealt by it, and a hot template can be split.
+    recurring = materialize(found.filter(F.col("n") >= min_docs).select(F.col("k").alias("rk"), "first"), "templates")
     hits = pairs.join(recurring.hint("merge"), F.col("k") == F.col("rk")).filter(~F.col("doc").eqNullSafe(F.col("first")))
     dropped = hits.groupBy(F.col("doc").alias("__doc")).agg(F.flatten(F.collect_list("places")).alias("__gone"))
     joined = docs.alias("__in").join(dropped.hint("merge").alias("__out"), key.eqNullSafe(F.col("__out.__doc")), "left")
