@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, materialize
 from .tokenization import slices
 
 # Names from the HTML standard and common class names.
@@ -45,6 +45,7 @@ BOILER_TAGS = frozenset("nav footer aside form button dialog".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 BOILER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: A start tag of the key ends open elements of the named kinds, up to the nearest list or table.
@@ -59,25 +60,34 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("boiler", "in_article", "link", "parent", "path", "score", "tag")
+    """An open element. ``hard`` boilerplate (by tag, role, or reader comments) holds for all inside; what only a class name says ends at an article."""
+
+    __slots__ = ("hard", "in_article", "link", "parent", "path", "soft", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
-        self.tag, self.parent, self.score = tag, parent, 0.0
-        inherited, found = (parent.boiler, parent.in_article) if parent else (False, False)
+        self.tag, self.parent = tag, parent
+        hard, soft, within = (parent.hard, parent.soft, parent.in_article) if parent else (False, False, False)
         self.link = tag == "a" or bool(parent and parent.link)
-        classes = ""
+        main, classes = tag in ("article", "main"), ""
+        if main:
+            soft = False
         if attributes and not attributes.isspace():
             held = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
             names = held.get("class", "").lower()
             classes = "".join(f".{_DIGITS.sub('#', c)}" for c in sorted(names.split()))
             words = set(_PARTS.split(f"{names} {held.get('id', '').lower()}"))
             hidden = "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "").lower()
-            main = tag in ("article", "main", "body", "html")
-            inherited = inherited or hidden or (not main and bool(words & BOILER_WORDS)) or held.get("role", "").lower() in BOILER_ROLES
-        self.boiler = inherited or tag in BOILER_TAGS or (tag == "header" and not found)
-        self.in_article = found or tag in ("article", "main")
+            hard = hard or hidden or held.get("role", "").lower() in BOILER_ROLES or (tag != "body" and bool(words & COMMENT_WORDS))
+            soft = soft or (not main and tag not in ("body", "html") and bool(words & BOILER_WORDS))
+        self.hard = hard or tag in BOILER_TAGS or (tag == "header" and not within)
+        self.soft = soft
+        self.in_article = within or main
         self.path = (f"{parent.path}>" if parent else "") + tag + classes
 
+    @property
+    def boiler(self) -> bool:
+        return self.hard or self.soft
+
 
 def blocks(html: str) -> list[tuple[str, Node, int]]:
     """(text, element, characters of link text) of the page's blocks, in page order."""
@@ -201,6 +211,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     tally = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     ranked = tally.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).filter(F.col("place") <= paths_kept)
     winners = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("w")).select("host", F.transform("w", lambda x: x["path"]).alias("paths"))
+    # A table of its own: both sides of the join are then dealt by it, and a hot host can be split.
+    winners = materialize(winners, "paths")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
