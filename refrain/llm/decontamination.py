@@ -11,7 +11,11 @@
 4. Windows at several scales, a few words apart, are folded into the latent space.
    A window is a candidate for a benchmark item when it carries a share of the item's IDF
    mass and its cosine is high enough.
-5. A candidate is confirmed on the words themselves: the longest common subsequence has to
+5. No bound on a cosine is safe, so windows also become candidates by their words: whatever
+   is to be confirmed has at least ``HITS`` words among an item's rarest places (all but
+   ``needed - HITS`` of them), and windows on the grid that have so many are compared too.
+   Items of under ``SHORT`` words are found as runs of their words.
+6. A candidate is confirmed on the words themselves: the longest common subsequence has to
    hold ``LCS_SHARE`` of the item's words, and ``ANSWER_SHARE`` of its answer (its last
    sentence), which lets reworded copies through but no passage on the same subject.
 
@@ -27,6 +31,7 @@ by :func:`decontaminate`. Other columns are ignored (:func:`decontaminate` passe
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,6 +54,8 @@ LEAST_MASS, LEAST_COSINE = 0.5, 0.45
 SPLITS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 6: (4, 2), 8: (4, 4), 12: (8, 4), 16: (8, 8)}
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 SHORT = 8
+#: Words that a window has to have among an item's rarest places, and places looked up at a time.
+HITS, LOOKUPS = 3, 1 << 17
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+~`^/\\"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -224,6 +231,52 @@ def latent_terms(coded: DataFrame, idf: np.ndarray, kind: type, seed: int = 3) -
     return (vectors[:, :RANK] / values * values[0]).astype(np.float32)
 
 
+def needed(item: Item) -> float:
+    """Words of an item that have to be found."""
+    n = len(item.words)
+    return n if n < SHORT else max(SHORT, LCS_SHARE * n)
+
+
+def rarest(item: Item, idf: np.ndarray) -> tuple[list[int], int]:
+    """Words of which every window that holds ``needed(item)`` of the item's has some, and how many.
+
+    A common subsequence of t words leaves out n - t places, so it meets any n - t + h places h times.
+    """
+    t = math.ceil(needed(item))
+    hits = min(HITS, t)
+    places = sorted(item.words, key=lambda w: (-idf[w], w))[: len(item.words) - t + hits]
+    return sorted(set(places)), hits
+
+
+class Postings:
+    """The places of each word in a batch of texts."""
+
+    def __init__(self, ids: np.ndarray, v: int):
+        known = np.flatnonzero(ids >= 0)
+        self.order = known[np.argsort(ids[known], kind="stable")]
+        self.count = np.bincount(ids[known], minlength=v)
+        self.first = np.cumsum(self.count) - self.count
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``words``, place) of all occurrences."""
+        count = self.count[words]
+        which = np.repeat(np.arange(len(words)), count)
+        return which, self.order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[words], count)]
+
+
+def runs_of(words: list[int], ids: np.ndarray, bounds: np.ndarray, postings: Postings) -> np.ndarray:
+    """The texts that hold ``words`` one after the other."""
+    anchor = min(range(len(words)), key=lambda j: postings.count[words[j]])
+    start = postings.places(np.array([words[anchor]]))[1] - anchor
+    text = np.searchsorted(bounds, start + anchor, "right") - 1
+    inside = (start >= bounds[text]) & (start + len(words) <= bounds[text + 1])
+    start, text = start[inside], text[inside]
+    for j, w in enumerate(words):
+        same = ids[start + j] == w
+        start, text = start[same], text[same]
+    return np.unique(text)
+
+
 def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndarray, kind: type) -> DataFrame:
     vectors = latent * idf[:, None].astype(np.float32)
     idf32 = idf.astype(np.float32)
@@ -236,6 +289,10 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
             mass = np.array([idf32[i.words].sum() for i in own], np.float32)
             groups.append((s, own, np.array(rows), q.astype(np.float32), mass, [masks(i.words) for i in own], [masks(i.answer) for i in own]))
+    keys = []  # by group: the looked-up (item, word) pairs, item by item, and the hits each item needs
+    for _, own, *_ in groups:
+        found = [rarest(i, idf) if len(i.words) >= SHORT else ([], 1) for i in own]
+        keys.append((np.repeat(np.arange(len(own)), [len(w) for w, _ in found]), np.array([x for w, _ in found for x in w], np.int64), np.array([h for _, h in found])))
 
     v = len(idf)
     member = np.zeros((len(bench.items), v + 1), bool)
@@ -246,10 +303,6 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
     idf0 = np.append(idf32, np.float32(0))
     widest = max(g[0] for g in groups) // STRIDE
 
-    def needed(item: Item) -> float:
-        n = len(item.words)
-        return n if n < SHORT else max(SHORT, LCS_SHARE * n)
-
     def confirm(window: list[int], item: Item, pattern: dict[int, int], answer: dict[int, int]) -> tuple[float, float] | None:
         common = lcs_length(pattern, len(item.words), window)
         if common < needed(item):
@@ -281,23 +334,17 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
             place_in = np.arange(total) - first[of]
             padded = np.append(ids, np.full(1, -1, kind))
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for scale, own, which, queries, masses, patterns, answers in groups:
+            postings = Postings(ids, v)
+            for (scale, own, which, queries, masses, patterns, answers), (key_item, key_word, hits) in zip(groups, keys, strict=True):
                 k = scale // STRIDE
+                step = max(1, k // 4)
                 weight = mass[k]
-                heavy = np.flatnonzero((weight >= LEAST_MASS * masses.min()) & (place_in % max(1, k // 4) == 0))
+                heavy = np.flatnonzero((weight >= LEAST_MASS * masses.min()) & (place_in % step == 0))
                 need = np.array([needed(i) for i in own])
-                for low in range(0, len(heavy), 2048):
-                    at = heavy[low : low + 2048]
-                    window = sums[k][at]
-                    norm = np.maximum(np.linalg.norm(window, axis=1), 1e-12)
-                    hit = (window @ queries.T) >= (LEAST_COSINE * norm)[:, None]
-                    r, q = np.nonzero(hit)
-                    keep = weight[at[r]] >= LEAST_MASS * masses[q]
-                    r, q = r[keep], q[keep]
-                    if not len(r):
-                        continue
+
+                def judge(w, q, scale=scale, own=own, which=which, patterns=patterns, answers=answers, need=need):
+                    """Windows at strides ``w`` against items ``q``."""
                     # No common subsequence is longer than the window's words that the item has at all.
-                    w = at[r]
                     d = of[w]
                     start = bounds[d] + (w - first[d]) * STRIDE
                     from_, to = np.maximum(start - edge, bounds[d]), np.minimum(start + scale + edge, bounds[d + 1])
@@ -308,6 +355,41 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
                         found = confirm(ids[from_[j] : to[j]].tolist(), item, patterns[q[j]], answers[q[j]])
                         if found and found > best.get((int(d[j]), item.item_id), (0.0, 0.0)):
                             best[int(d[j]), item.item_id] = found
+
+                for low in range(0, len(heavy), 2048):
+                    at = heavy[low : low + 2048]
+                    window = sums[k][at]
+                    norm = np.maximum(np.linalg.norm(window, axis=1), 1e-12)
+                    hit = (window @ queries.T) >= (LEAST_COSINE * norm)[:, None]
+                    r, q = np.nonzero(hit)
+                    keep = weight[at[r]] >= LEAST_MASS * masses[q]
+                    r, q = r[keep], q[keep]
+                    if len(r):
+                        judge(at[r], q)
+                # The same grid by rare words; all the windows of an item are met in one turn, so their hits are whole.
+                amount = np.cumsum(postings.count[key_word])
+                ends = np.searchsorted(key_item, np.arange(len(own)), "right")
+                low = 0
+                while low < len(key_word):
+                    done = int(amount[low - 1]) if low else 0
+                    high = int(ends[max(key_item[low], np.searchsorted(amount[np.maximum(ends - 1, 0)], done + LOOKUPS, "right") - 1)])
+                    pair, place = postings.places(key_word[low:high])
+                    q = key_item[low:high][pair]
+                    d = np.searchsorted(bounds, place, "right") - 1
+                    inner = place - bounds[d]
+                    m0 = np.maximum(0, -(-(inner - scale - edge + 1) // (STRIDE * step)))
+                    m1 = np.minimum((inner + edge) // STRIDE, real[d] - 1) // step
+                    n = np.maximum(0, m1 - m0 + 1)
+                    w = first[np.repeat(d, n)] + step * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(m0, n))
+                    key, times = np.unique(w * len(own) + np.repeat(q, n), return_counts=True)
+                    key = key[times >= hits[key % len(own)]]
+                    for at in range(0, len(key), 4096):
+                        judge(key[at : at + 4096] // len(own), key[at : at + 4096] % len(own))
+                    low = high
+                for item in own:
+                    if len(item.words) < SHORT:
+                        for d in runs_of(item.words, ids, bounds, postings).tolist():
+                            best[d, item.item_id] = (1.0, 1.0)
             rows = sorted(best.items())
             yield pa.RecordBatch.from_arrays(
                 [

@@ -158,6 +158,26 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in truth}
 
 
+def test_short_and_reworded_items_inside_the_same_vocabulary(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(words(rng, 1 + k % 8, 600))) for k in range(64)] + [(100 + k, " ".join(words(rng, rng.randrange(15, 60), 600))) for k in range(40)]
+    docs, truth = [], set()
+    for d, (k, text) in enumerate(items * 3):
+        body, item = words(rng, rng.randrange(100, 400), 600), text.split()
+        if k >= 100:  # up to 38 % of the words replaced, and not the answer
+            end = len(item) - max(1, len(item) // 4)
+            for j in rng.sample(range(end), int(0.38 * len(item))):
+                item[j] = words(rng, 1, 600)[0]
+            truth.add((d, k))
+        at = rng.randrange(len(body) + 1)
+        body[at:at] = item
+        docs.append((d, " ".join(body)))
+    truth |= {(d, k) for d, t in docs for k, x in items if f" {x} " in f" {t} "}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert truth <= got
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "some words of an item that is long enough")], "item_id long, text string")
     assert decontamination.leaks(frame(spark, []), bench).count() == 0
