@@ -1,11 +1,12 @@
-"""Line dedup by a log-template tree, in DataFrame functions only.
-
-A line walks a tree of fixed depth: first by its token count, then by its leading tokens,
-where variable fields (tokens with a digit, an address or a link) all take the wildcard
-branch. At the leaf the rest of the line is generalised the same way, which gives its
-template. A template that occurs in at least ``min_docs`` documents is recurring: its
-lines are dropped from every document but the first (by doc_id) that shows it, so no text
-is lost to the corpus.
+"""Line dedup by masked exact lines, in DataFrame functions only.
+
+A line's template is the line with one space between tokens and its variable fields (tokens
+with a digit, an address or a link) replaced by a wildcard. The place in a tree of fixed
+depth (token count, leading tokens) is part of a template's key, but follows from the
+template: lines are the same only when all their masked tokens are, and a field that varies
+without a digit makes a template of its own for each value. A template that occurs in at
+least ``min_docs`` documents is recurring: its lines are dropped from every document but the
+first (by doc_id) that shows it, so no text is lost to the corpus.
 
 One shuffle of (leaf, template hash, document) rows counts templates; the rows are reduced
 to one per template and document before it and to one per template and task in it, so a
