@@ -59,6 +59,26 @@ def hash_groups(hashes: DataFrame, threshold: int, key: str = "hash", min_durati
     return out.withColumns({"end_time": F.col("start_time") + F.col("duration"), "confidence": confidence(F.col("variance"), F.col("n"))}).drop("variance")
 
 
+def similarity_groups(hashes: DataFrame, threshold: int, key: str, min_duration: float = 0.0) -> DataFrame:
+    """AGG-3, FLT-1: from the first start to the last end of each group, with its members' mean pairwise similarity (0 of a single one).
+
+    A bit that c of n members have set tells c (n - c) pairs apart, so counts of bits stand for the pairs.
+    """
+    n = F.col("n").cast("double")
+    ones = [F.sum(F.shiftrightunsigned("hash", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    out = hashes.groupBy(key).agg(
+        F.count("hash").alias("n"),
+        F.countDistinct("episode_id").alias("n_episodes"),
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.array_sort(F.collect_set("episode_id")).alias("episodes"),
+        F.array(*ones).alias("ones"),
+    )
+    out = out.filter((F.col("n") >= threshold) & (F.col("n_episodes") >= threshold) & (F.col("end_time") - F.col("start_time") >= min_duration))
+    apart = F.aggregate("ones", F.lit(0.0), lambda s, c: s + c * (n - c))
+    return out.withColumn("confidence", F.when(n > 1, 1 - apart / (32 * n * (n - 1))).otherwise(F.lit(0.0))).drop("ones")
+
+
 def _named(groups: DataFrame, episodes: DataFrame) -> DataFrame:
     """Episode ids of groups as sorted names (JN-20)."""
     keyed = groups.withColumn("gid", F.monotonically_increasing_id())
@@ -215,7 +235,7 @@ def multi_hash(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> Dat
     width = cfg.window_frames or max(int(cfg.min_duration), 10)
     hashes = windows.rolling_hash(frames, width).withColumn("id", F.xxhash64("episode_id", "frame_idx"))
     leaders = joins.leader_clusters(hashes.select("id", "hash"), int(64 * (1 - threshold))).select("id", "leader")
-    groups = hash_groups(hashes.join(leaders, "id"), cfg.threshold, "leader", cfg.min_duration)
+    groups = similarity_groups(hashes.join(leaders, "id"), cfg.threshold, "leader", cfg.min_duration)
     return _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments)
 
 

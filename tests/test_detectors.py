@@ -70,6 +70,25 @@ def test_multi_hash_and_ssim(spark):
     assert any(len(s.episode_list) == 3 for s in detectors.ssim(frames, names, cfg).collect())
 
 
+def test_multi_hash_groups_span_their_members(spark):
+    rng = random.Random(6)
+    rows = [(g, e, 10.0 * g + 3 * e, 10.0 * g + 3 * e + 6, rng.getrandbits(64) - (1 << 63)) for g in range(3) for e in range(4)] + [(9, 0, 1.0, 8.0, -1)]
+    hashes = spark.createDataFrame(rows, "leader int, episode_id int, start_time double, end_time double, hash long")
+    got = {r.leader: r for r in detectors.similarity_groups(hashes, 1, "leader").collect()}
+    for g in range(3):
+        h = [x[4] & (1 << 64) - 1 for x in rows if x[0] == g]
+        pairs = [1 - (a ^ b).bit_count() / 64 for i, a in enumerate(h) for b in h[i + 1 :]]
+        assert (got[g].start_time, got[g].end_time) == (10.0 * g, 10.0 * g + 15)
+        assert got[g].confidence == pytest.approx(sum(pairs) / len(pairs))
+    assert got[9].confidence == 0
+
+
+def test_multi_hash_bounds_cover_shifted_members(spark):
+    frames, names = planted(spark, at=(20, 26, 31))
+    found = detectors.multi_hash(frames, names, CFG).collect()
+    assert min(s.start_time for s in found) == 20 and max(s.end_time for s in found) == 55 and {s.confidence for s in found} == {1.0}
+
+
 def test_audio_hash_detectors(spark):
     frames, names = planted(spark, at=(20, 20, 20))
     found = detectors.spectral_hash(frames, names, CFG).collect()
