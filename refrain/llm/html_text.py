@@ -7,6 +7,8 @@
    combined), and each host keeps its best paths.
 3. Pages are joined to their host's paths and extracted again: the first path that a page
    has decides which subtrees are the article; a page with none keeps its own best container.
+   A path inside an article or main element stands for all of that element, so a body
+   container or one of several sections doesn't cut off its siblings.
 
 Within the article, navigation, asides, forms, notices, adverts, comments and hidden parts
 are left out. Character references are decoded, white space inside a block becomes one
@@ -179,17 +181,23 @@ def extract(found: list[tuple[str, Node, int]], paths: list[str]) -> str:
     own = score_containers(found)
     best = sorted(own, key=lambda p: (-own[p], p))[:1]
     for path in [*paths, *best]:
-        kept, there = [], False
-        for text, node, _ in found:
-            if node.path == path or node.path.startswith(f"{path}>"):
-                there = True
-                if not node.boiler:
-                    kept.append(text)
-        if there and kept:
-            return "\n\n".join(kept)
+        inside = [node for _, node, _ in found if (node.path == path or node.path.startswith(f"{path}>")) and not node.boiler]
+        if inside:
+            whole = article_around(inside[0], path)
+            return "\n\n".join(text for text, node, _ in found if (node.path == whole or node.path.startswith(f"{whole}>")) and not node.boiler)
     return ""
 
 
+def article_around(node: Node, path: str) -> str:
+    """The path of the nearest article or main that ``path``, an element at or around ``node``, is or stands in; else ``path``."""
+    at: Node | None = node
+    while at is not None and at.path != path:
+        at = at.parent
+    while at is not None and at.tag not in ("article", "main"):
+        at = at.parent
+    return at.path if at is not None else path
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", paths_kept: int = 3) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = columns(pages, page_id=(id_col, "long"), url=(url_col, "string"), html=(html_col, "string"))

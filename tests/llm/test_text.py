@@ -277,6 +277,17 @@ def test_host_paths_win_over_the_page(spark):
     assert got[9].startswith("words in the article body") and "teaser" not in got[9]
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_nested_and_split_article_bodies(spark, tag):
+    long, short = "words in the article body " * 40, "words of a shorter part " * 10
+    nested = page(f"<nav><a href=/>menu</a></nav><{tag}><h1>Head</h1><p>lead</p><div class=body><p>{long}</p><aside>no</aside></div><p>end</p></{tag}><div class=teaser><p>{short}</p></div>")
+    split = page(f"<{tag}><section class=one><p>{short}</p></section><section class=two><div><p>{long}</p></div></section></{tag}><footer>foot</footer>")
+    rows = [(i, "http://n.example/", nested) for i in range(3)] + [(i, "http://s.example/", split) for i in range(3, 6)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(3)} == {f"Head\n\nlead\n\n{long.strip()}\n\nend"}
+    assert {got[i] for i in range(3, 6)} == {f"{short.strip()}\n\n{long.strip()}"}
+
+
 def test_broken_markup_is_survived():
     rng = random.Random(1)
     bits = ["<p>", "</p>", "<div class=\"a", "<b", ">", "</", "<!--", "-->", "<script>", "</script>", "&amp", "&#x41;", "text ", "<li>", "<table><tr><td>", "</table>", "<!x", "<a href='x'>", "\0"]
