@@ -137,11 +137,11 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
             work += len(s)
             # Few entries reach the k-th best so far; only they are merged.
             rows = np.flatnonzero(s >= least) if len(scores) == k else np.arange(len(s))
+            # The query's own rows go first, however many: they would take the places of others.
+            rows = rows[ids[low + int(a) + rows] != query_id]
             if len(rows) > 4 * k:
-                rows = rows[s[rows] >= np.partition(s[rows], -k - 1)[-k - 1]]
-            mine = ids[low + int(a) + rows]
-            keep = mine != query_id
-            scores, found = np.append(scores, s[rows[keep]].astype(np.int64)), np.append(found, mine[keep])
+                rows = rows[s[rows] >= np.partition(s[rows], -k)[-k]]
+            scores, found = np.append(scores, s[rows].astype(np.int64)), np.append(found, ids[low + int(a) + rows])
             if len(scores) > k:
                 order = np.lexsort((found, -scores))[:k]
                 scores, found = scores[order], found[order]

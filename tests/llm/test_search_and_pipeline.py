@@ -68,6 +68,18 @@ def test_top_k_edge_cases(spark, monkeypatch):
     assert ms.top_k(frame.filter("vec_id in (0, 20)"), F.lit(True), k=7).count() == 2
 
 
+@pytest.mark.parametrize("copies", [2, 30])
+def test_repeated_query_ids_take_no_places(spark, copies):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-64, 65, (300, 4))
+    ids = list(range(300)) + [0] * (copies - 1)
+    v = np.vstack([v, np.repeat(v[:1], copies - 1, axis=0)])
+    v[np.array(ids) == 0] = 90
+    frame = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = ms.top_k(frame, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    assert [(r.score, r.vec_id) for r in got] == brute(v, ids, v[0], 0, 20)
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DATA).toPandas()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
