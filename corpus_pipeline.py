@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template an earlier document has and at least three share; n_chars follows the text."""
-    cleaned = line_templates.drop_recurring_lines(docs)
+    """All documents, without lines, short ones too, whose template an earlier document has and at least three share; n_chars follows the text."""
+    cleaned = line_templates.drop_recurring_lines(docs, short_lines=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 

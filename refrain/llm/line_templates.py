@@ -13,7 +13,8 @@ to one per template and document before it and to one per template and task in i
 line that half the corpus shares costs a row a task. A second brings each document its
 dropped templates, and the lines are filtered in place: text moves once, and keeps its order.
 
-Lines shorter than ``min_tokens`` tokens are no templates: they stay. Defined results: a
+Lines shorter than ``min_tokens`` tokens are no templates: they stay, unless ``short_lines``
+makes each of them one, unmasked since little but a wildcard would be left. Defined results: a
 null text stays null; an empty one stays empty; equal lines inside one document count
 once; rows that share a doc_id (null is one such id) count as one document; an empty table
 gives an empty result. Other columns are passed on unchanged.
@@ -53,16 +54,23 @@ def leaf(made: Column, depth: int) -> Column:
 
 
 def template_key(made: Column, depth: int, min_tokens: int) -> Column:
-    """A 64-bit key of (leaf, template); null for lines that are too short to be one."""
-    return F.when((made != "") & (token_count(made) >= min_tokens), F.xxhash64(leaf(made, depth), made))
+    """A 64-bit key of (leaf, template), or of a marked short line; null for lines that are too short to be one."""
+    template = (made != "") & (token_count(made) >= min_tokens)
+    return F.when(template | made.startswith("\n"), F.xxhash64(leaf(made, depth), made))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marked(line: Column, min_tokens: int) -> Column:
+    """A short line unmasked, behind a line feed, which no line holds; others generalised."""
+    return F.when((line != "") & (token_count(line) < min_tokens), F.concat(F.lit("\n"), line)).otherwise(generalised(line))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """``docs`` with recurring lines removed from ``text_col``, and ``n_dropped``, the lines removed (replaces a column of that name)."""
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     lines = F.split(text, "\n", -1)
     # Nested transforms: each lambda refers to its value more than once, and computes it once.
-    keys = F.transform(F.transform(F.transform(lines, spaced), generalised), lambda made: template_key(made, depth, min_tokens))
+    made = F.transform(F.transform(lines, spaced), (lambda line: marked(line, min_tokens)) if short_lines else generalised)
+    keys = F.transform(made, lambda made: template_key(made, depth, min_tokens))
     seen = docs.select(key.alias("doc"), F.posexplode(keys).alias("pos", "k")).filter(F.col("k").isNotNull())
     # Rows that share an id are one document; so are a template's repeats inside one.
     pairs = materialize(seen.groupBy("k", "doc").agg(F.collect_set("pos").alias("places")), "lines")

@@ -90,6 +90,12 @@ def test_pipeline(spark):
     assert len(clean & set(rows["doc_id"])) > 0.85 * len(clean)
 
 
+def test_line_stage_drops_recurring_short_lines(spark):
+    docs = spark.createDataFrame([(i, "Les.\nbody", 9) for i in range(3)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_recurring_lines(spark, docs, DATA).collect()}
+    assert got == {0: ("Les.\nbody", 9), 1: ("", 0), 2: ("", 0)}
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

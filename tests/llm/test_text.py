@@ -108,6 +108,14 @@ def test_recurring_templates(spark):
     assert line_templates.drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_recurring_short_lines(spark):
+    rows = [(i, f"All rights reserved.\nLes.\npage {i}\n\nown line number {'abcd'[i]} here") for i in range(4)] + [(9, "Les. ")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(frame(spark, rows), short_lines=True).collect()}
+    assert got[0] == (rows[0][1], 0) and got[9] == ("", 1)
+    for i in (1, 2, 3):  # what a mask would make equal stays, as does an empty line
+        assert got[i] == (f"page {i}\n\nown line number {'abcd'[i]} here", 2)
+
+
 def test_templates_of_long_and_odd_lines(spark):
     rows = [(i, "x" * 50_000 + "\n" + "a b c d\n" * 2000 + "u://v @ : :: 1") for i in range(3)]
     got = line_templates.drop_recurring_lines(frame(spark, rows)).orderBy("doc_id").collect()
