@@ -10,11 +10,13 @@ longer words, which catch inflected and disguised forms. For each model the most
 ones (chi-squared, in the rows it is trained on) are used; each model is an L2-regularised
 logistic regression. The chain is fitted on the driver from a bounded sample of labelled
 rows (``sample`` rows, chosen by a hash of doc_id); everything else covers all rows. The
-rejection threshold is the one with the best F1 over the out-of-fold predictions.
+features of those rows are counted and ranked in Spark, and only the chosen ones (at most
+``FEATURES`` a model, of at least four sampled rows) come to the driver. The rejection threshold is the one with the best F1 over the out-of-fold predictions.
 
 Defined results: a null or wordless text has no features and gets the categories' base
 rates; a label that is null leaves its row out of that category; several labels of one
-doc_id count as their maximum; without any labelled row all probabilities are 0; repeated
+doc_id count as their maximum; rows of the sample that share a doc_id train as one, by the
+least of their texts; without any labelled row all probabilities are 0; repeated
 rows each get a result; an empty table gives an empty result. Other columns are passed on.
 """
 
@@ -27,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, trim
+from .common import discard, materialize, trim
 from .tokenization import slices
 
 FOLDS = 5
@@ -126,36 +128,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> np.n
     return w
 
 
-class _Bags:
-    """Feature sets of the sampled rows, by feature id."""
-
-    def __init__(self, features: np.ndarray, row: np.ndarray):
-        self.names, self.feature = np.unique(features, return_inverse=True)
-        self.row = row
-
-    def telling(self, rows: np.ndarray, y: np.ndarray, k: int, least: int = 4) -> np.ndarray:
-        """The ``k`` features with the largest chi-squared statistic in ``rows``; ties by hash."""
-        inside = np.full(int(rows.max(initial=0)) + 1, -1)
-        inside[rows] = np.arange(len(rows))
-        known = self.row < len(inside)
-        local = np.where(known, inside[np.minimum(self.row, len(inside) - 1)], -1)
-        keep = local >= 0
-        n = np.bincount(self.feature[keep], minlength=len(self.names)).astype(float)
-        a = np.bincount(self.feature[keep], weights=y[local[keep]], minlength=len(self.names))
-        total, positive = len(rows), y.sum()
-        expected = n * positive / max(total, 1)
-        chi = np.where(n >= least, (a - expected) ** 2 / np.maximum(expected * (1 - positive / max(total, 1)), 1e-9), 0)
-        order = np.lexsort((np.arange(len(chi)), -chi))[:k]
-        return order[chi[order] > LEAST_CHI]
-
-    def matrix(self, features: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
+@dataclass
+class Sample:
+    """The labelled rows on the driver: their folds, and which of the chosen features (by number) each row has."""
+
+    names: np.ndarray
+    fold: np.ndarray
+    row: np.ndarray
+    feature: np.ndarray
+    #: (category, fold left out, or FOLDS for none) -> the numbers of the features to train on.
+    chosen: dict[tuple[str, int], np.ndarray]
+
+    def matrix(self, rows: np.ndarray, features: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         """One column per feature, then the earlier categories' probabilities."""
-        column = np.full(len(self.names), -1)
-        column[features] = np.arange(len(features))
-        c = column[self.feature]
-        x = np.zeros((n, len(features) + earlier.shape[1]), np.float32)
-        x[:, len(features) :] = earlier
-        x[self.row[c >= 0], c[c >= 0]] = 1
+        place, column = np.full(len(self.fold), -1), np.full(len(self.names), -1)
+        place[rows], column[features] = np.arange(len(rows)), np.arange(len(features))
+        r, c = place[self.row], column[self.feature]
+        inside = (r >= 0) & (c >= 0)
+        x = np.zeros((len(rows), len(features) + earlier.shape[1]), np.float32)
+        x[:, len(features) :] = earlier[rows]
+        x[r[inside], c[inside]] = 1
         return x
 
 
@@ -168,29 +160,24 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def fit_chain(features: np.ndarray, row: np.ndarray, n: int, labels: dict[str, np.ndarray], l2: float = 0.03) -> tuple[Chain, np.ndarray]:
-    """The chain, and its out-of-fold probabilities. ``labels``: category -> 0, 1 or NaN for each of ``n`` rows, in chain order."""
-    store, fold = _Bags(features, row), np.arange(n) % FOLDS
+def fit_chain(store: Sample, labels: dict[str, np.ndarray], l2: float = 0.03) -> Chain:
+    """``labels``: category -> 0, 1 or NaN for each row of the sample, in chain order."""
+    n = len(store.fold)
     chain, earlier = Chain([], [], []), np.zeros((n, 0))
+    none = np.empty(0, np.int64)
     for category, y in labels.items():
-        known = ~np.isnan(y)
-
-        def train(rows: np.ndarray, y: np.ndarray = y, earlier: np.ndarray = earlier) -> tuple[np.ndarray, np.ndarray]:
-            picked = store.telling(rows, y[rows], FEATURES)
-            x = store.matrix(picked, n, earlier)
-            return picked, _logistic(x if len(rows) == n else x[rows], y[rows].astype(np.float32), l2)
-
         out = np.zeros(n)
-        rows = np.flatnonzero(known)
+        rows = np.flatnonzero(~np.isnan(y))
         if len(rows) and 0 < y[rows].sum() < len(rows):
             for k in range(FOLDS):
-                inside = rows[fold[rows] != k]
+                inside, outside = rows[store.fold[rows] != k], np.flatnonzero(store.fold == k)
                 if not len(inside):
                     continue
-                picked, w = train(inside)
-                x = store.matrix(picked, n, earlier)[fold == k]
-                out[fold == k] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50)))
-            picked, w = train(rows)
+                picked = store.chosen.get((category, k), none)
+                w = _logistic(store.matrix(inside, picked, earlier), y[inside].astype(np.float32), l2)
+                out[outside] = 1 / (1 + np.exp(-np.clip(store.matrix(outside, picked, earlier) @ w[:-1] + w[-1], -50, 50)))
+            picked = store.chosen.get((category, FOLDS), none)
+            w = _logistic(store.matrix(rows, picked, earlier), y[rows].astype(np.float32), l2)
             m = len(picked)
             model = Linear({int(store.names[f]): float(v) for f, v in zip(picked, w[:m], strict=True)}, [float(v) for v in w[m:-1]], float(w[-1]))
             threshold = _best_threshold(out[rows], y[rows])
@@ -202,7 +189,7 @@ def fit_chain(features: np.ndarray, row: np.ndarray, n: int, labels: dict[str, n
         chain.models.append(model)
         chain.thresholds.append(threshold)
         earlier = np.column_stack([earlier, out])
-    return chain, earlier
+    return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
@@ -223,26 +210,59 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     kinds = ", ".join(f"`{c}` int" for c in names)
     joined = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(picked), "doc")
-    # Only features of at least four sampled rows can be chosen; the rest stays on the executors.
-    bags = joined.select("doc", "text", *names).mapInArrow(bag, f"doc long, bag array<long>, {kinds}")
-    rows = _frequent(bags, names).toArrow().combine_chunks()
+    # One text for each id, however many rows share it.
+    single = joined.groupBy("doc", *names).agg(F.min("text").alias("text")).select("doc", "text", *names)
+    bags = materialize(single.mapInArrow(bag, f"doc long, bag array<long>, {kinds}").withColumn("fold", F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(FOLDS)).cast("int")), "bags")
+    rows = bags.select("doc", "fold", *names).toArrow().combine_chunks()
     rows = rows.take(pc.sort_indices(rows["doc"]))
-    bag = rows["bag"].combine_chunks()
-    n = len(rows)
-    columns = {c: np.array([np.nan if v is None else v for v in rows[c].to_pylist()], float) for c in names}
-    counts = pc.list_value_length(bag).to_numpy(zero_copy_only=False).astype(np.int64) if n else np.empty(0, np.int64)
-    chain = fit_chain(bag.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), counts), n, columns)[0]
-    del rows, bag
+    docs_in, fold = rows["doc"].to_numpy(), rows["fold"].to_numpy()
+    labels_in = {c: np.array([np.nan if v is None else v for v in rows[c].to_pylist()], float) for c in names}
+    telling = _telling(bags, fold, labels_in).collect()
+    numbers = {f: i for i, f in enumerate(sorted({r.f for r in telling}))}
+    chosen: dict[tuple[str, int], list[int]] = {}
+    for r in telling:
+        chosen.setdefault((r.category, r.left_out), []).append(numbers[r.f])
+    known = docs.sparkSession.createDataFrame(list(numbers.items()), "f long, i int")
+    pairs = bags.select("doc", F.explode("bag").alias("f")).join(F.broadcast(known), "f").select("doc", "i").toArrow()
+    sample_rows = Sample(
+        np.array(sorted(numbers), np.int64),
+        fold,
+        np.searchsorted(docs_in, pairs["doc"].to_numpy()).astype(np.int32),
+        pairs["i"].to_numpy(),
+        {k: np.array(sorted(v), np.int64) for k, v in chosen.items()},
+    )
+    chain = fit_chain(sample_rows, labels_in)
+    del rows, pairs, sample_rows
+    discard(bags)
     trim()
     return chain
 
 
-def _frequent(bags: DataFrame, categories: list[str], least: int = 4) -> DataFrame:
-    bags = materialize(bags, "bags")
-    pairs = bags.select("doc", F.explode("bag").alias("f"))
-    often = pairs.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("f")
-    kept = pairs.join(often, "f").groupBy("doc").agg(F.collect_set("f").alias("bag"))
-    return bags.drop("bag").dropDuplicates(["doc"]).join(kept, "doc", "left").select("doc", F.sort_array(F.coalesce("bag", F.array().cast("array<bigint>"))).alias("bag"), *categories)
+def _telling(bags: DataFrame, fold: np.ndarray, labels: dict[str, np.ndarray], least: int = 4) -> DataFrame:
+    """(category, left_out, f): for each category and training set the FEATURES features with the largest chi-squared statistic, ties by hash.
+
+    A training set is the rows of all folds but ``left_out``. Counts, statistics and ranks stay in Spark;
+    what comes out has at most FEATURES rows for each model.
+    """
+    counts, sets = [], []
+    for c, y in labels.items():
+        for k in range(FOLDS):
+            inside = F.col("fold") == k
+            counts += [F.count_if(inside & F.col(f"`{c}`").isNotNull()).alias(f"n_{c}_{k}"), F.count_if(inside & (F.col(f"`{c}`") == 1)).alias(f"a_{c}_{k}")]
+        for left_out in range(FOLDS + 1):
+            held = (fold != left_out) & ~np.isnan(y)
+            if not held.any() or not 0 < y[held].sum() < held.sum():
+                continue
+            rate = float(y[held].mean())
+            n, a = (sum((F.col(f"`{x}_{c}_{k}`") for k in range(FOLDS) if k != left_out), F.lit(0)) for x in "na")
+            chi = F.pow(a - n * rate, F.lit(2)) / F.greatest(n * rate * (1 - rate), F.lit(1e-9))
+            sets.append(F.struct(F.lit(c).alias("category"), F.lit(left_out).alias("left_out"), F.when(n >= least, chi).otherwise(0.0).alias("chi")))
+    pairs = bags.select("fold", *[F.col(f"`{c}`") for c in labels], F.explode("bag").alias("f"))
+    if not sets:
+        return pairs.limit(0).select(F.lit("").alias("category"), F.lit(0).alias("left_out"), "f")
+    found = pairs.groupBy("f").agg(*counts).select("f", F.explode(F.filter(F.array(*sets), lambda s: s["chi"] > LEAST_CHI)).alias("s")).select("f", "s.*")
+    order = Window.partitionBy("category", "left_out").orderBy(F.desc("chi"), "f")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FEATURES).select("category", "left_out", "f")
 
 
 def score(docs: DataFrame, chain: Chain, reject: str, text_col: str = "text") -> DataFrame:
