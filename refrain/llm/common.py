@@ -11,12 +11,12 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, fresh_dir, materialize, shared_dir
 
-__all__ = ["columns", "discard", "fresh_dir", "materialize", "shared_dir", "table", "trim"]
+__all__ = ["columns", "discard", "fresh_dir", "materialize", "packed", "shared_dir", "table", "trim", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").cast(kind).alias(new) for new, (old, kind) in wanted.items()])
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """All of a table's columns as one column ``row``, beside ``keys``: no name of the table's can clash with a later step's."""
+    return df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns ``names`` of a :func:`packed` table again, with other values for some."""
+    return df.select(*[changed.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers outlive tasks, and executors count what they hold."""
     gc.collect()

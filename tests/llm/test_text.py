@@ -74,6 +74,29 @@ def test_large_group_is_settled_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in plain_components(rows, 3, 85).items()}
 
 
+def test_texts_that_share_an_id_link_what_each_links(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], f"z{rng.random()}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (11, " ".join(c)), (11, " ".join(c)), (12, near(c)), (None, near(c)), (None, " ".join(words(rng, 30)))] * 3
+    got = near_duplicates.near_duplicates(frame(spark, rows), words=3, percent=85).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (12, 11, False), (None, None, True)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], f"z{rng.random()}"])
+    rows = [(4, near(a)), (3, " ".join(a)), (None, near(a)), (None, " ".join(b)), (None, near(b)), (6, None), (6, ""), (8, " ".join(c)), (8, "another text")]
+    clash = frame(spark, rows * 3).withColumnsRenamed({"k": "copy", "component": "__doc", "doc": "__key"})
+    got = near_duplicates.drop_near_duplicates(clash)
+    assert got.columns == clash.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], *[r for r in kept if r[0] is None], *rows[5:7] * 3, *rows[7:]], key=str)
+    assert sum(r[0] is None for r in kept) == 1 and near_duplicates.drop_near_duplicates(clash.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.near_duplicates(frame(spark, [])).count() == 0
 
