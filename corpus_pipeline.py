@@ -33,9 +33,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest doc_id."""
-    found = near_duplicates.near_duplicates(docs, words=5, percent=80)
-    copies = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("copy"))
-    return docs.join(copies.hint("merge"), F.col("doc_id") == F.col("copy"), "left_anti").select(*docs.columns)
+    return near_duplicates.drop_near_duplicates(docs, words=5, percent=80).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
