@@ -120,12 +120,12 @@ def test_words_split_at_ascii_space_only():
 
 
 def test_recurring_templates(spark):
-    rows = [(i, f"Posted on {i} May by user{i}\nown line number {'abcdef'[i]} here now\nshort one\n") for i in range(4)]
+    rows = [(i, f"Posted on {i} May by user{i}\n{'abcdef'[i]} line of {'ghijkl'[i]} own\nshort one {'abcdef'[i]}\n") for i in range(4)]
     rows += [(10, None), (11, ""), (None, "Posted on 9 May by user9"), (12, "the same line here again\n" * 3), (13, "Posted  on\t7 May by user7")]
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(frame(spark, rows)).collect()}
     assert got[0] == (rows[0][1], 0)  # the first document keeps its line
     for i in (1, 2, 3):
-        assert got[i] == (f"own line number {'abcdef'[i]} here now\nshort one\n", 1)
+        assert got[i] == (f"{'abcdef'[i]} line of {'ghijkl'[i]} own\nshort one {'abcdef'[i]}\n", 1)
     assert got[10] == (None, 0) and got[11] == ("", 0) and got[None] == ("", 1) and got[13] == ("", 1)
     assert got[12] == (rows[-2][1], 0)  # one document, however often it repeats a line
     assert line_templates.drop_recurring_lines(frame(spark, [])).count() == 0
@@ -133,16 +133,46 @@ def test_recurring_templates(spark):
 
 def test_recurring_short_lines(spark):
     rows = [(i, f"All rights reserved.\nLes.\npage {i}\n\nown line number {'abcd'[i]} here") for i in range(4)] + [(9, "Les. ")]
-    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(frame(spark, rows), short_lines=True).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(frame(spark, rows), constant=0.9).collect()}
     assert got[0] == (rows[0][1], 0) and got[9] == ("", 1)
     for i in (1, 2, 3):  # what a mask would make equal stays, as does an empty line
         assert got[i] == (f"page {i}\n\nown line number {'abcd'[i]} here", 2)
 
 
+def test_fields_are_generalised_in_the_leaf(spark):
+    people = ["Anna", "Ben", "Carla", "Dora"]
+    rows = [(i, f"Posted by {p} today\nown text of {p} that is said only once and nowhere else in any other words {i}x") for i, p in enumerate(people)]
+    rows += [(10 + i, f"Posted by nobody in {w} of the house") for i, w in enumerate(["room", "hall"])]  # two values are no field
+    rows += [(20 + i, f"It was {a} {b} {c}") for i, (a, b, c) in enumerate(zip("abcd", "efgh", "ijkl", strict=True))]  # running text
+    drop = lambda **kw: {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(frame(spark, [(i, t.split("\n")[0]) for i, t in rows]), **kw).collect()}
+    assert drop() == {i: int(i in (1, 2, 3)) for i, _ in rows}
+    assert drop(distinct=4) == dict.fromkeys([i for i, _ in rows], 0)
+    assert drop(depth=3) == dict.fromkeys([i for i, _ in rows], 0)  # names lead to leaves of their own
+
+
+def test_long_lines_recur_in_two_documents(spark):
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(frame(spark, [(1, f"{passage}\nend"), (2, f"start\n{passage}"), (3, passage + " more")])).collect()}
+    assert got == {1: (f"{passage}\nend", 0), 2: ("start", 1), 3: (passage + " more", 0)}
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(i, f"Posted on {i} May\nbody {'abcd'[i]}") for i in range(4)] + [(5, "Posted on 5 May\nunique a"), (5, "unique b\nunique c"), (None, "unique d\nPosted on 7 May"), (None, "unique e\nunique f")]
+    want = [(i, t if i == 0 else "\n".join(x for x in t.split("\n") if not x.startswith("Posted"))) for i, t in rows]
+    got = [(r.doc_id, r.text) for r in line_templates.drop_recurring_lines(frame(spark, rows * 3)).collect()]
+    assert sorted(got, key=str) == sorted(want * 3, key=str)
+
+
+def test_leaves_past_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, f"Posted by {p} today") for i, p in enumerate(["Anna", "Ben", "Carla"])]
+    monkeypatch.setattr(line_templates, "BROADCAST_LEAVES", 0)
+    assert sum(r.n_dropped for r in line_templates.drop_recurring_lines(frame(spark, rows)).collect()) == 2
+
+
 def test_templates_of_long_and_odd_lines(spark):
     rows = [(i, "x" * 50_000 + "\n" + "a b c d\n" * 2000 + "u://v @ : :: 1") for i in range(3)]
     got = line_templates.drop_recurring_lines(frame(spark, rows)).orderBy("doc_id").collect()
-    assert [r.n_dropped for r in got] == [0, 2001, 2001] and got[1].text == "x" * 50_000
+    assert [r.n_dropped for r in got] == [0, 2002, 2002] and got[1].text == ""
 
 
 # Decontamination
