@@ -7,9 +7,10 @@ bins that are not full. A step of the search moves a piece, exchanges one piece
 or two for one, always from an emptier bin into a fuller one, so the sum of squared fills
 grows with every step and the search ends. Its aim is to empty bins.
 
-A block wastes less than a bin or two, so with thousands of pieces a block the whole
-packing is within a fraction of a per cent of the bound ceil(tokens / capacity). Full
-pieces are bins of their own and never enter a block.
+Blocks meet in further rounds: the bins that are not full are dealt anew, whole, into
+blocks of the same size, and packed again, until the bound ceil(tokens / capacity) is
+reached, one block held them all, or a round saves no bin. Full pieces are bins of their
+own and never enter a block.
 
 Defined results: a null text is an empty document (one end id); every row, repeated or
 not, is packed; doc_id may be null; an empty table gives an empty result. Other columns
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, materialize
@@ -69,18 +70,16 @@ class LocalSearch:
 
     Each step takes one piece or two out of a source bin, into a bin that is at least as
     full, against nothing or one shorter piece, and picks the exchange that leaves the
-    target the smallest gap. ``steps`` bounds the search, not the packing: what it leaves
-    is a valid packing at any point.
+    target the smallest gap.
     """
 
-    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int, steps: int | None = None):
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
         self.capacity = capacity
         self.full, loose = [], []
         for b in bins:
             (self.full if sum(lengths[i] for i in b) == capacity else loose).append(list(b))
         self.bins = loose
         self.pieces = [i for b in loose for i in b]
-        self.steps = 4 * len(self.pieces) if steps is None else steps
         self.size = {i: lengths[i] for i in self.pieces}
         self.fill = np.array([sum(lengths[i] for i in b) for b in loose], np.int64)
         # One row per piece, then one per bin for plain moves (nothing comes back).
@@ -129,10 +128,10 @@ class LocalSearch:
         return True
 
     def run(self) -> list[list[int]]:
-        """Passes over the sources, emptiest first, until no step improves, bins are as few as can be, or steps run out."""
+        """Passes over the sources, emptiest first, until no step improves or bins are as few as can be."""
         least = -(-int(self.fill.sum()) // self.capacity)
         improved = True
-        while improved and self.steps > 0 and sum(map(bool, self.bins)) > least:
+        while improved and sum(map(bool, self.bins)) > least:
             improved, failed = False, set()
             for source in np.argsort(self.fill, kind="stable").tolist():
                 if not 0 < self.fill[source] < self.capacity:
@@ -140,8 +139,8 @@ class LocalSearch:
                 kind = tuple(sorted(self.size[i] for i in self.bins[source]))
                 if kind in failed:
                     continue
-                while self.bins[source] and self.steps > 0 and self._step(source):
-                    improved, self.steps = True, self.steps - 1
+                while self.bins[source] and self._step(source):
+                    improved = True
                     failed.clear()
                 failed.add(kind)
         return self.full + [b for b in self.bins if b]
@@ -151,6 +150,14 @@ def pack_block(lengths: list[int], capacity: int) -> list[list[int]]:
     return LocalSearch(best_fit_decreasing(lengths, capacity), lengths, capacity).run()
 
 
+def repack(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """The pieces of ``bins`` in fewer bins, or ``bins`` again."""
+    found = pack_block(lengths, capacity)
+    if len(found) >= len(bins):
+        found = LocalSearch(bins, lengths, capacity).run()
+    return found if len(found) < len(bins) else bins
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document, with a checksum of their ids."""
 
@@ -179,25 +186,40 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     pieces = materialize(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
+    schema = f"{PIECE_SCHEMA}, sequence_id long, offset long, fill long"
+
+    def packed(rows: DataFrame, deal: Column, blocks: int, turn: int) -> DataFrame:
+        def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            order = ["length", "doc_id", "piece", "ids_crc32"]
+            group = group.sort_values(order, ascending=[False, True, True, True], kind="stable", ignore_index=True)
+            lengths = group["length"].tolist()
+            if turn:
+                bins = repack([b.tolist() for b in group.groupby("sequence_id", sort=True).indices.values()], lengths, capacity)
+            else:
+                bins = pack_block(lengths, capacity)
+            sequence, offset, full = (np.zeros(len(lengths), np.int64) for _ in range(3))
+            for s, members in enumerate(bins):
+                at = 0
+                for i in members:
+                    sequence[i], offset[i] = (turn << 56) + (int(key[0]) << 24) + s, at
+                    at += lengths[i]
+                full[members] = at
+            return group.assign(sequence_id=sequence, offset=offset, fill=full).drop(columns="block")
+
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64(deal, F.lit(turn)), F.lit(blocks)).cast("int"))
+        return materialize(dealt.groupBy("block").applyInPandas(fill, schema), "packed")
+
     loose = pieces.filter(F.col("length") < capacity)
     # A row number makes equal rows distinct; blocks are dealt by it, so copies spread evenly.
-    blocks = max(1, -(-loose.count() // block_pieces))
-    dealt = loose.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-
-    def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        lengths = group["length"].tolist()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for s, members in enumerate(pack_block(lengths, capacity)):
-            at = 0
-            for i in members:
-                sequence[i], offset[i] = s, at
-                at += lengths[i]
-        group["sequence_id"] = sequence * blocks + int(key[0])
-        group["offset"] = offset
-        return group.drop(columns="block")
-
-    schema = f"{PIECE_SCHEMA}, sequence_id long, offset long"
-    packed = dealt.groupBy("block").applyInPandas(fill, schema)
+    blocks, turn = max(1, -(-loose.count() // block_pieces)), 0
+    latest = packed(loose.withColumns({c: F.lit(None).cast("long") for c in ("sequence_id", "offset", "fill")}), F.monotonically_increasing_id(), blocks, turn)
+    whole, before = latest.filter("1 = 0"), None
+    while blocks > 1:
+        whole, latest = whole.unionByName(latest.filter(F.col("fill") >= capacity)), latest.filter(F.col("fill") < capacity)
+        n, bins, tokens = latest.agg(F.count("*"), F.count_if(F.col("offset") == 0), F.sum("length")).first()
+        if not n or bins <= -(-tokens // capacity) or bins == before:
+            break
+        blocks, turn, before = -(-n // block_pieces), turn + 1, bins
+        latest = packed(latest, F.col("sequence_id"), blocks, turn)
     full = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return packed.unionByName(full)
+    return whole.unionByName(latest).drop("fill").unionByName(full)

@@ -80,6 +80,19 @@ def test_packing_is_whole_and_gapless(spark, words_path):
     assert packing.pack(frame(spark, []), words_path, end_id=1).count() == 0
 
 
+def test_blocks_meet(spark, monkeypatch):
+    rng = random.Random(6)
+    for lengths in ([rng.randint(1, 90) for _ in range(3 * 64)], [60] * 150, [rng.randint(30, 45) for _ in range(200)]):
+        made = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE_SCHEMA)
+        monkeypatch.setattr(packing, "cut_pieces", lambda *a, made=made: made)
+        rows = packing.pack(made, "", 1, capacity=100, block_pieces=64).toPandas()
+        assert sorted(rows["length"]) == sorted(lengths) and rows.groupby("sequence_id")["length"].sum().max() <= 100
+        for _, seq in rows.groupby("sequence_id"):
+            seq = seq.sort_values("offset")
+            assert seq["offset"].tolist() == (seq["length"].cumsum() - seq["length"]).tolist()
+        assert rows["sequence_id"].nunique() <= len(packing.pack_block(lengths, 100)) + 1
+
+
 @pytest.mark.parametrize("kind", ["equal", "thirds", "mixed"])
 def test_local_search_improves_best_fit(kind):
     rng = random.Random(1)
