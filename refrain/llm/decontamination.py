@@ -17,16 +17,20 @@
    Items of under ``SHORT`` words are found as runs of their words.
 6. A candidate is confirmed on the words themselves: the longest common subsequence has to
    hold ``LCS_SHARE`` of the item's words, and ``ANSWER_SHARE`` of its answer (its last
-   sentence), which lets reworded copies through but no passage on the same subject.
+   sentence), which lets reworded copies through but no passage on the same subject. An item
+   of over ``SCALES[-1]`` words is searched by parts of about equal length; a document that
+   holds a part is compared with the whole item, around the place where the part was found.
 
 The benchmark is the query set: it is taken in blocks of ``ITEMS`` items, each against all
 documents, so what tasks hold has a bound whatever its size.
 
 Words are lower-cased and stripped of punctuation at their ends. Defined results: null or
 wordless texts match nothing; a null or wordless item matches nothing; items of under eight
-words have to be found whole; repeated rows are each judged; an empty table, or benchmark,
-gives an empty result; a row with a null doc_id is judged and reported, and never removed
-by :func:`decontaminate`. Other columns are ignored (:func:`decontaminate` passes them on).
+words have to be found whole; repeated rows are each judged, and reported once for an id and
+item, by the best match; an empty table, or benchmark, gives an empty result; a row with a
+null doc_id is judged and reported like any other. :func:`decontaminate` removes rows by
+their own text, whatever their doc_id. Other columns are ignored (:func:`decontaminate`
+passes them on).
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, materialize, trim
+from .common import columns, discard, materialize, packed, trim, unpacked
 from .tokenization import slices
 
 PASSAGE, STRIDE = 32, 8
@@ -56,6 +60,7 @@ LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 SHORT = 8
 #: Words that a window has to have among an item's rarest places, and places looked up at a time.
 HITS, LOOKUPS = 3, 1 << 17
+FOUND = "item_id long, lcs_share double, answer_share double"
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+~`^/\\"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -66,9 +71,13 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Item:
+    """An item, or a part of a long one: ``before`` and ``after`` are the item's words around it."""
+
     item_id: int
     words: list[int]
     answer: list[int]
+    before: list[int]
+    after: list[int]
 
 
 class Benchmark:
@@ -82,12 +91,10 @@ class Benchmark:
             coded = [self.vocabulary[w] for w in words_of(text)]
             last = len(words_of([s for s in _SENTENCE.split(text) if words_of(s)][-1]))
             answer = coded[-last:] if last < len(coded) else coded[-max(1, len(coded) // 4) :]
-            # A long item is retrieved by its parts; a doc that holds one of them holds the item.
-            for low in range(0, len(coded), SCALES[-1]):
-                part = coded[low : low + SCALES[-1]]
-                if low and len(part) < SCALES[0]:
-                    continue
-                self.items.append(Item(item_id, part, answer if low + len(part) >= len(coded) else []))
+            parts = -(-len(coded) // SCALES[-1])
+            cuts = [len(coded) * k // parts for k in range(parts + 1)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                self.items.append(Item(item_id, coded[low:high], answer, coded[:low], coded[high:]))
 
 
 def lcs_length(pattern: dict[int, int], length: int, text: list[int]) -> int:
@@ -110,7 +117,7 @@ def masks(words: list[int]) -> dict[int, int]:
 
 
 def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(doc_id, ids): the words of each text as int16/int32 positions in the vocabulary, -1 for others."""
+    """(doc_id, ids), whatever type doc_id has: the words of each text as int16/int32 positions in the vocabulary, -1 for others."""
     kind = np.int16 if len(vocabulary) < 32_000 else np.int32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +142,7 @@ def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             out = [data[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, ids binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -295,20 +302,29 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
         keys.append((np.repeat(np.arange(len(own)), [len(w) for w, _ in found]), np.array([x for w, _ in found for x in w], np.int64), np.array([h for _, h in found])))
 
     v = len(idf)
-    member = np.zeros((len(bench.items), v + 1), bool)
-    for i, item in enumerate(bench.items):
-        member[i, item.words] = True
+    # (item, word) pairs in order, a key each; the gap word -1 gives a key that no item has.
+    member = np.unique(np.concatenate([r * (v + 1) + np.unique(i.words) for r, i in enumerate(bench.items)]).astype(np.int64))
     edge = PASSAGE // 2
     vectors0 = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)]).astype(np.float32)
     idf0 = np.append(idf32, np.float32(0))
     widest = max(g[0] for g in groups) // STRIDE
 
-    def confirm(window: list[int], item: Item, pattern: dict[int, int], answer: dict[int, int]) -> tuple[float, float] | None:
-        common = lcs_length(pattern, len(item.words), window)
+    def confirm(ids: np.ndarray, low: int, high: int, ends: tuple[int, int], item: Item, pattern: dict[int, int], answer: dict[int, int]) -> tuple[float, float] | None:
+        """A window, places ``low`` to ``high`` of ``ids``, of a text that has the places ``ends``."""
+        window = ids[low:high].tolist()
+        common, n = lcs_length(pattern, len(item.words), window), len(item.words)
         if common < needed(item):
             return None
-        share = lcs_length(answer, len(item.answer), window) / len(item.answer) if item.answer else 1.0
-        return (common / len(item.words), share) if share >= ANSWER_SHARE else None
+        if item.before or item.after:
+            whole = [*item.before, *item.words, *item.after]
+            # As much text on each side as the item has words there, and half as much again.
+            low, high = max(ends[0], low - len(item.before) * 3 // 2), min(ends[1], high + len(item.after) * 3 // 2)
+            window, n = ids[low:high].tolist(), len(whole)
+            common = lcs_length(masks(whole), n, window)
+            if common < LCS_SHARE * n:
+                return None
+        share = lcs_length(answer, len(item.answer), window) / len(item.answer)
+        return (common / n, share) if share >= ANSWER_SHARE else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
@@ -349,10 +365,12 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
                     start = bounds[d] + (w - first[d]) * STRIDE
                     from_, to = np.maximum(start - edge, bounds[d]), np.minimum(start + scale + edge, bounds[d + 1])
                     span = from_[:, None] + np.arange(scale + 2 * edge)
-                    held = member[which[q][:, None], padded[np.where(span < to[:, None], span, len(ids))]].sum(axis=1)
+                    word = padded[np.where(span < to[:, None], span, len(ids))].astype(np.int64)
+                    keys_ = which[q][:, None] * (v + 1) + np.where(word < 0, v, word)
+                    held = (member[np.minimum(np.searchsorted(member, keys_), len(member) - 1)] == keys_).sum(axis=1)
                     for j in np.flatnonzero(held >= need[q]).tolist():
                         item = own[q[j]]
-                        found = confirm(ids[from_[j] : to[j]].tolist(), item, patterns[q[j]], answers[q[j]])
+                        found = confirm(ids, from_[j], to[j], (bounds[d[j]], bounds[d[j] + 1]), item, patterns[q[j]], answers[q[j]])
                         if found and found > best.get((int(d[j]), item.item_id), (0.0, 0.0)):
                             best[int(d[j]), item.item_id] = found
 
@@ -401,7 +419,7 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
                 names=["doc_id", "item_id", "lcs_share", "answer_share"],
             )
 
-    return coded.mapInArrow(run, "doc_id long, item_id long, lcs_share double, answer_share double")
+    return coded.mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
@@ -417,10 +435,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield rows
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, lcs_share, answer_share: the benchmark items that each document holds."""
-    docs = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_share double, answer_share double")
+def _leaks(docs: DataFrame, benchmark: DataFrame, item_col: str) -> DataFrame:
+    """doc_id, item_id, lcs_share, answer_share for ``docs`` (doc_id of any type, text)."""
+    found = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
     for rows in _blocks(columns(benchmark, item_id=(item_col, "long"), text=("text", "string"))):
         bench = Benchmark(rows)
         if not bench.items:
@@ -436,7 +453,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_share", "answer_share")).alias("x")).select("doc_id", "item_id", "x.lcs_share", "x.answer_share")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("__leaked"), "left_anti")
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """doc_id, item_id, lcs_share, answer_share: the benchmark items that each document holds."""
+    return _leaks(columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")), benchmark, item_col)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item. Rows are told by their text's digest, so ids don't matter."""
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.unhex(F.md5(text.cast("binary")))
+    bad = _leaks(docs.select(key.alias("doc_id"), text.alias("text")), benchmark, item_col).select(F.col("doc_id").alias("key")).distinct()
+    # A table of its own: both sides of the join are then dealt by it, and a hot text can be split.
+    return unpacked(packed(docs, key=key).join(materialize(bad, "leaking").hint("merge"), "key", "left_anti"), docs.columns)

@@ -216,7 +216,7 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
     assert got == truth | {(None, 0)}
     kept = {r.doc_id for r in decontamination.decontaminate(frame(spark, docs), bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in truth}
+    assert kept == {d for d, _ in docs} - {d for d, _ in truth} - {None}
 
 
 def test_short_and_reworded_items_inside_the_same_vocabulary(spark):
@@ -239,6 +239,27 @@ def test_short_and_reworded_items_inside_the_same_vocabulary(spark):
     assert truth <= got
 
 
+def test_long_items_need_their_answer(spark):
+    rng = random.Random(11)
+    items = [(k, " ".join(words(rng, n, 3000)) + ". " + " ".join(words(rng, 12, 3000))) for k, n in enumerate([128, 140, 260, 500])]
+    docs = []
+    for k, text in items:
+        body = words(rng, 300, 3000)
+        cut = text.split()[:-12]
+        docs += [(10 * k, " ".join([*body, *text.split(), *body])), (10 * k + 1, " ".join([*body, *cut, *body])), (10 * k + 2, " ".join([*body, *cut[: len(cut) // 2], *body]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert got == {(10 * k, k) for k, _ in items}
+
+
+def test_rows_are_removed_by_their_own_text(spark):
+    items, docs, truth = leak_fixture(random.Random(2))
+    leak, clean = docs[min(truth)[0]][1], next(t for d, t in docs if d not in {d for d, _ in truth})
+    rows = [(1, leak), (1, clean), (None, leak), (None, clean), (2, None), (1, leak)]
+    kept = decontamination.decontaminate(frame(spark, rows).withColumnRenamed("k", "key").withColumnRenamed("doc", "row"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(1, clean), (None, clean), (2, None)], key=str) and "row" in kept.columns
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "some words of an item that is long enough")], "item_id long, text string")
     assert decontamination.leaks(frame(spark, []), bench).count() == 0
