@@ -376,4 +376,52 @@ def test_broken_markup_is_survived():
     for _ in range(500):
         html_text.extract(html_text.blocks("".join(rng.choice(bits) for _ in range(30))), [])
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    assert html_text.blocks(deep)
+    assert html_text.extract(html_text.blocks(deep), []) == "x"
+    deep = "<div class='some long class name'>" * 50_000 + "x"
+    assert html_text.extract(html_text.blocks(deep), []) == "x"
+
+
+PROSE = "Running text of the article, which goes on for a while and has commas and full stops."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><p>{PROSE}</p><svg width=1 /><p>end</p></article>", [PROSE, "end"]),
+        (f"<article><p>{PROSE}</p><noscript><p>end</p></article>", [PROSE, "end"]),
+        (f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo></math> 1</p></article>", [f"{PROSE} x= 1"]),
+        (f"<div class='hentry comments-open'><article><p>{PROSE}</p></article></div>", [PROSE]),
+        (f"<article class='post has-comments'><p>{PROSE}</p></article>", [PROSE]),
+        (f"<form action=x><main><p>{PROSE}</p></main><p>go</p></form>", [PROSE]),
+        (f"<form action=x><div id=c><p>{PROSE}</p><p>more</p></div></form>", [PROSE, "more"]),
+        (f"<article><p>{PROSE}</p><h2 id='share-price'>Head</h2><div class='social-science'><p>{PROSE}</p></div><p class='skip-list'>end</p></article>", [PROSE, "Head", PROSE, "end"]),
+        (f"<article><p class=\"lead>{PROSE}</p><p class=\"x\">end</p></article>", [PROSE, "end"]),
+        (f"<article><p data-x='<p>no</p>'>{PROSE}</p></article>", [PROSE]),
+        (f"<article><p>{PROSE}</p><div class='share-buttons'><p>tell</p></div><div class='site-footer'>x</div><div id='comments-area'><p>{PROSE}</p></div><div class='see-related'><a href=x>one</a> <a href=y>two</a></div></article>", [PROSE]),
+        (f"<article><p>{PROSE}</p><form><p>name</p></form></article>", [PROSE]),
+    ],
+)
+def test_pages_that_lost_or_gained_text(body, want):
+    assert html_text.extract(html_text.blocks(page(body)), []).split("\n\n") == want
+
+
+def test_generated_pages_are_extracted_whole(spark):
+    rng = random.Random(12)
+    rows, truth = [], {}
+    inner = ["nav", "aside", "form", "footer", "div class='advert'", "div class='site-nav'", "div id='cookie-banner'", "ul class='share-links'", "section class='comments'", "div role=navigation"]
+    for i in range(200):
+        host, parts, body = f"h{i % 7}.example", [], []
+        for _ in range(rng.randrange(2, 12)):
+            if rng.random() < 0.3:
+                tag = rng.choice(inner)
+                body.append(f"<{tag}><p>{' '.join(words(rng, 8))}</p></{tag.split()[0]}>")
+            else:
+                parts.append(" ".join(words(rng, rng.randrange(15, 60))))
+                tag = rng.choice(["p", "h2", "blockquote", "li", "div", "pre", "p class=lead"])
+                body.append(f"<{tag}>{parts[-1].replace(' ', rng.choice([' ', chr(10), ' <b>x</b> ']), 1).replace(' <b>x</b> ', ' ')}</{tag.split()[0]}>")
+        wrap = ["article", "main", "div class=entry"][i % 7 % 3]
+        around = f"<header><p>site</p></header><div class=menu><a href=x>m</a></div><{wrap}>{''.join(body)}</{wrap.split()[0]}><aside><p>{' '.join(words(rng, 9))}</p></aside>"
+        rows.append((i, f"http://{host}/{i}", page(around)))
+        truth[i] = "\n\n".join(parts)
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in truth if got[i] != truth[i]] == []
