@@ -4,7 +4,8 @@ A text is the average of the embeddings of its subwords (byte runs of two to fou
 words with marked ends, hashed into ``BUCKETS`` rows); a linear layer and a softmax give
 probabilities. Both layers are trained together by stochastic gradient descent in numpy,
 on the driver, from a bounded sample: at most ``sample`` labelled rows (chosen by a hash of
-doc_id), of each at most ``grams`` subwords drawn from the whole text.
+doc_id; of rows that share one, the least text). Their whole texts count: a bag holds each
+subword once, with its share of the text, and the embeddings are averaged by these shares.
 
 A part of the sample is left out of training. On it a temperature is fitted, so that the
 score is a calibrated probability, and a rejection threshold: the least score at which
@@ -14,7 +15,7 @@ For prediction embeddings and softmax weights collapse into one table of a score
 bucket and language, so a whole text costs one look-up per subword of its distinct words.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, rejected;
-rows whose language is null don't train; without a training row all is ``und``; repeated
+rows whose language or doc_id is null don't train; without a training row all is ``und``; repeated
 rows each get a result; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
 from .tokenization import slices
 
 BUCKETS = 1 << 16
@@ -95,7 +97,22 @@ class Model:
         return [self.languages[b] if c else "und" for b, c in zip(best.tolist(), count.tolist(), strict=True)], score
 
 
-def fit(bags: list[np.ndarray], langs: list[str], precision: float = 0.99, epochs: int = 4, seed: int = 5) -> Model:
+class Bags:
+    """Rows as runs of (bucket, share of the text)."""
+
+    def __init__(self, size: np.ndarray, bucket: np.ndarray, share: np.ndarray):
+        self.size, self.bucket, self.share = size, bucket, share
+        self.first = np.cumsum(size) - size
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some (not empty) rows: sizes, starts, buckets and shares."""
+        size = self.size[rows]
+        starts = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(self.first[rows] - starts, size)
+        return size, starts, self.bucket[at].astype(np.int64), self.share[at]
+
+
+def fit(bags: Bags, langs: list[str], precision: float = 0.99, epochs: int = 4, seed: int = 5) -> Model:
     """Train on subword bags (one a row, any order that is the same each time)."""
     languages = sorted(set(langs))
     k = len(languages)
@@ -106,30 +123,29 @@ def fit(bags: list[np.ndarray], langs: list[str], precision: float = 0.99, epoch
     held = np.arange(len(y)) % 5 == 4
     e = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     w, b = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
-    used = np.flatnonzero(~held & (np.array([len(g) for g in bags]) > 0))
+    used = np.flatnonzero(~held & (bags.size > 0))
     steps, total = 0, max(1, epochs * -(-len(used) // 32))
     for _ in range(epochs):
         order = rng.permutation(used)
         for low in range(0, len(order), 32):
             rows = order[low : low + 32]
             rate, steps = np.float32(0.8 * (1 - steps / total) + 0.01), steps + 1
-            flat = np.concatenate([bags[r] for r in rows])
-            size = np.array([len(bags[r]) for r in rows])
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            mean = np.add.reduceat(e[flat], starts, axis=0) / size[:, None].astype(np.float32)
+            size, starts, flat, share = bags.take(rows)
+            mean = np.add.reduceat(e[flat] * share[:, None], starts, axis=0)
             z = mean @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            back = (p @ w.T) / size[:, None]
+            back = np.repeat(p @ w.T, size, axis=0) * share[:, None]
             w -= rate * (mean.T @ p) / len(rows) * 4
             b -= rate * p.mean(axis=0)
-            np.add.at(e, flat, (-rate * 20 * np.repeat(back, size, axis=0)).astype(np.float32))
+            np.add.at(e, flat, (-rate * 20 * back).astype(np.float32))
     table = e @ w
     model = Model(languages, table, b.astype(float), 1.0, 0.0)
-    rows = np.flatnonzero(held & (np.array([len(g) for g in bags]) > 0))
+    rows = np.flatnonzero(held & (bags.size > 0))
     if len(rows):
-        z = np.array([table[bags[r]].mean(axis=0) for r in rows]) + b
+        _, starts, flat, share = bags.take(rows)
+        z = np.column_stack([np.add.reduceat(table[flat, c] * share, starts) for c in range(k)]) + b
         grid = np.geomspace(0.05, 20, 60)
 
         def loss(t: float) -> float:
@@ -147,31 +163,47 @@ def fit(bags: list[np.ndarray], langs: list[str], precision: float = 0.99, epoch
     return model
 
 
-def train(docs: DataFrame, may_train: Column, sample: int = 6_000, grams: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, may_train: Column, sample: int = 6_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``sample`` rows for which ``may_train`` holds and whose language is known."""
     rows = docs.filter(may_train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    # The rows with the smallest hashes: their bound is found from ids alone, then each scan task keeps its share.
+    # The ids with the smallest hashes: their bound is found from ids alone, then each scan task keeps its share.
     key = F.xxhash64(F.col("doc"), F.lit(11))
-    bound = rows.select(key.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    bound = rows.select(key.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if bound is None:
-        return fit([], [])
+        return fit(Bags(*(np.empty(0, np.int64) for _ in range(3))), [])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            bags = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, _, place = _words(pa.array([text.as_py()], pa.string()))
-                rng = np.random.default_rng(abs(doc))
-                if len(place) > grams:
-                    place = rng.choice(place, grams, replace=False)
-                found = _word_grams([words[i] for i in place.tolist()])[0]
-                bags.append(rng.permutation(found)[:grams])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.list_(pa.int64()))], names=["doc", "lang", "bag"])
-
-    got = rows.filter(key <= bound).mapInArrow(draw, "doc long, lang string, bag array<long>").toArrow().to_pydict()
-    order = sorted(range(len(got["doc"])), key=lambda i: (got["doc"][i], got["lang"][i], got["bag"][i][:4]))[: 2 * sample]
-    return fit([np.array(got["bag"][i], np.int64) for i in order], [got["lang"][i] for i in order])
+            words, owner, word = _words(batch.column(1))
+            grams, of = _word_grams(words)
+            per_word = np.bincount(of, minlength=len(words))
+            order = np.argsort(of, kind="stable")
+            first = np.cumsum(per_word) - per_word
+            bags, shares = [], []
+            ends = np.searchsorted(owner, np.arange(batch.num_rows), "right").tolist()
+            for low, high in zip([0, *ends[:-1]], ends, strict=True):
+                seen, times = np.unique(word[low:high], return_counts=True)
+                n = per_word[seen]
+                at = np.arange(int(n.sum())) + np.repeat(first[seen] - (np.cumsum(n) - n), n)
+                count = np.bincount(grams[order[at]], np.repeat(times, n), BUCKETS)
+                bucket = np.flatnonzero(count)
+                bags.append(bucket.astype(np.uint16))
+                shares.append((count[bucket] / max(1.0, count.sum())).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in bags], pa.binary()), pa.array([x.tobytes() for x in shares], pa.binary())], names=["doc", "lang", "bag", "share"])
+
+    # One row an id, however many rows share it; then a bag holds at most BUCKETS subwords of six bytes.
+    single = rows.filter(key <= bound).groupBy("doc").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc", "x.text", "x.lang")
+    got = single.mapInArrow(draw, "doc long, lang string, bag binary, share binary").toArrow().combine_chunks().sort_by("doc")
+    bag, share = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.binary()) for c in ("bag", "share"))
+    size = pc.binary_length(bag).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    bags = Bags(size, np.frombuffer(b"".join(bag.to_pylist()), np.uint16), np.frombuffer(b"".join(share.to_pylist()), np.float32))
+    langs = got["lang"].to_pylist()
+    del got, bag, share
+    model = fit(bags, langs)
+    del bags
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

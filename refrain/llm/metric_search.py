@@ -13,13 +13,15 @@ Queries go in blocks to every shard. A search is best-first: a heap of nodes by
 bound; an entry whose stored distances already put it beyond the k-th best (triangle
 inequality) is dropped without computing its distance. Leaf entries that are left get their
 integer inner product. Bounds are floats, so they are used with a slack, and equal scores
-are never pruned; the result is exact.
+are never pruned; the result is exact. A tree is sent once to every ``QUERY_BLOCK`` queries,
+with components of two or four bytes where the norms allow it.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows
 with a null id, take no part; vectors of several lengths are padded with zeros; a row that
 repeats an id is a candidate of its own, and no candidate for queries of that id; ties go
 to the smaller id; with fewer candidates than k all are returned; an empty table gives an
-empty result. Other columns are ignored.
+empty result; components and scores beyond 64 bits are the nearest 64-bit number. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ from .common import materialize
 
 SHARD_ROWS = 8192
 PAGE, FANOUT = 1024, 16
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
+#: Of bounds, absolute and in parts of the norms: what rounding can take from a root of a difference of squares.
 SLACK = 1e-6
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 @dataclass
@@ -116,10 +120,21 @@ def build(points: np.ndarray, seed: int = 1) -> Tree:
     )
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int, norm2: int) -> tuple[list[tuple[int, int]], int]:
+def arithmetic(norm2: float) -> type:
+    """A type in which all inner products are exact: no partial sum exceeds the product of two norms."""
+    return np.float32 if norm2 < 1 << 24 else np.float64 if norm2 < 1 << 52 else np.int64 if norm2 < 1 << 62 else object
+
+
+def storage(norm2: float) -> type:
+    """A type that holds all components."""
+    return np.int16 if norm2 < 1 << 30 else np.int32 if norm2 < 1 << 62 else np.int64
+
+
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int, norm2: float) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, id), best first, and how many inner products it took. ``vectors``, ``ids``: in page order."""
     point = np.append(query, 0).astype(float)
     base = float(query.astype(float) @ query.astype(float)) + norm2
+    slack = SLACK * (1 + float(np.sqrt(base)))
     heap = [(0.0, 0, float(_distances(tree.routing[0], point)))]
     scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
     tau, least, work = np.inf, 0, 0
@@ -131,9 +146,11 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
         if tree.leaf[node]:
             # Entries are sorted by their distance to the page's routing object: the bound keeps a run of them.
             d = tree.row_distance[low:high]
-            a, b = np.searchsorted(d, [to_node - tau, to_node + tau]) if tau < np.inf else (0, len(d))
+            a, b = np.searchsorted(d, [to_node - tau, np.nextafter(to_node + tau, np.inf)]) if tau < np.inf else (0, len(d))
             own = slice(low + int(a), low + int(b))
             s = vectors[own] @ query
+            if s.dtype == object:
+                s = np.array([min(max(x, LONG[0]), LONG[1]) for x in s], np.int64)
             work += len(s)
             # Few entries reach the k-th best so far; only they are merged.
             rows = np.flatnonzero(s >= least) if len(scores) == k else np.arange(len(s))
@@ -147,7 +164,7 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
                 scores, found = scores[order], found[order]
             if len(scores) == k:
                 least = int(scores.min())
-                tau = float(np.sqrt(max(base - 2 * least, 0))) + SLACK
+                tau = float(np.sqrt(max(base - 2 * least, 0))) + slack
             continue
         kids = np.arange(low, high)
         far = np.abs(to_node - tree.to_parent[low:high]) - tree.radius[low:high]
@@ -172,7 +189,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("query"), integer_components(F.col(f"`{vector_col}`")).alias("v"))
     rows = materialize(rows.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull()), "vectors")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, norm2, width = rows.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not n:
@@ -192,17 +209,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     def plant(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable", ignore_index=True)
         own = matrix(group["v"])
-        points = np.column_stack([own, np.sqrt(np.maximum(norm2 - (own**2).sum(axis=1), 0))]).astype(float)
+        points = own.astype(float)
+        points = np.column_stack([points, np.sqrt(np.maximum(norm2 - (points**2).sum(axis=1), 0))])
         tree = build(points)
         made = dict(zip(fields, ([p] for p in tree.pack()), strict=True))
-        return pd.DataFrame({"shard": [key[0]], "ids": [group["vec_id"].to_numpy(np.int64)[tree.rows].tobytes()], "v": [own[tree.rows].tobytes()], **made})
+        return pd.DataFrame({"shard": [key[0]], "ids": [group["vec_id"].to_numpy(np.int64)[tree.rows].tobytes()], "v": [own[tree.rows].astype(storage(norm2)).tobytes()], **made})
 
     schema = ", ".join(["shard int, ids binary, v binary", *[f"{f} binary" for f in fields]])
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
     trees = materialize(dealt.groupBy("shard").applyInPandas(plant, schema), "trees")
     queries = rows.filter("query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = queries.select("query_id", F.col("v").cast(f"array<{np.dtype(storage(norm2)).itemsize == 8 and 'long' or 'int'}>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     offered = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -210,9 +228,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         if len(left) and len(right):
             held = right.iloc[0]
             tree = Tree.unpack([held[f] for f in fields], width + 1)
-            ids, own = np.frombuffer(held["ids"], np.int64), np.frombuffer(held["v"], np.int64).reshape(-1, width)
-            # No partial sum exceeds the product of two norms, so floats that hold norm2 exactly hold all of them.
-            exact = own.astype(np.float32 if norm2 < 1 << 24 else np.float64 if norm2 < 1 << 52 else np.int64)
+            ids, own = np.frombuffer(held["ids"], np.int64), np.frombuffer(held["v"], storage(norm2)).reshape(-1, width)
+            exact = own.astype(arithmetic(norm2))
             for query_id, q in zip(left["query_id"].tolist(), matrix(left["v"]), strict=True):
                 best, _ = search(tree, exact, ids, q.astype(exact.dtype), query_id, k, norm2)
                 out += [(query_id, vec_id, int(score)) for score, vec_id in best]

@@ -80,6 +80,21 @@ def test_repeated_query_ids_take_no_places(spark, copies):
     assert [(r.score, r.vec_id) for r in got] == brute(v, ids, v[0], 0, 20)
 
 
+@pytest.mark.parametrize("size", [1.0, 3e5, 1e9, 1e12])
+def test_components_of_any_size(spark, size):
+    rng = np.random.default_rng(5)
+    v = rng.uniform(-size, size, (120, 3))
+    v[60:70] = v[60]  # ties
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] * 3, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ms.top_k(frame, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()]
+    table = [[int(np.floor(64 * c)) for c in x] for x in v] * 3
+    want = []
+    for q in range(0, 120, 20):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(table[q], x, strict=True)), ms.LONG[0]), ms.LONG[1]), i % 120) for i, x in enumerate(table) if i % 120 != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert got == want
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DATA).toPandas()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
