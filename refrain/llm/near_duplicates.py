@@ -222,7 +222,8 @@ def _classes(docs: DataFrame, words: int, percent: int, rows: int, link: str) ->
     for done in (sets, members, buckets, wanted):
         discard(done)
     placed = materialize(classes.select("rep", "low").join(comps.hint("merge"), F.col("rep") == F.col("node")).select("rep", "low", "component"), "placed")
-    least = placed.groupBy("component").agg(F.min("low").alias("least"))
+    # A table of its own, so that a hot component can be split.
+    least = materialize(placed.groupBy("component").agg(F.min("low").alias("least")), "least")
     placed = placed.join(least.hint("merge"), "component").select("rep", "least")
     final = classes.select("digest", "low", "rep").join(placed.hint("merge"), "rep", "left").select("digest", "low", F.coalesce("least", "low").alias("least"))
     return sketches.drop("bands"), final
