@@ -14,7 +14,7 @@ reader fetch any record, in any order, with one seek.
 
 Defined results: a null text is an empty one (its record holds the end id alone); equal
 doc_ids keep one record each, ordered by text; a null doc_id comes first; an empty input
-gives an empty index and no shard. Texts are encoded whole. Other columns are ignored.
+gives an empty index and no shard; an id outside the stated vocabulary is an error. Texts are encoded whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,6 +93,8 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id
             if sink is None:
                 sink = files.open_output_stream(draft)
             ids, bounds = joined_ids(*coder.encode(batch.column(1)), end_id)
+            if len(ids) and int(ids.max()) >= vocabulary:
+                raise ValueError(f"id {int(ids.max())} is outside the vocabulary of {vocabulary}")
             small = ids.astype(width)
             starts, lengths = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -142,6 +144,7 @@ def read_records(index: DataFrame, out_dir: str, vocabulary: int = 49_408, check
     """Read the records that ``index`` rows name, checksums verified: doc_id, start, n_tokens, ids (or only ids_crc32).
 
     The index may be filtered or shuffled first. Neighbouring records are read with one request.
+    A record whose payload hasn't the number of ids that the index says raises :class:`CorruptRecord`.
     """
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     last = "ids_crc32 long" if checks_only else "ids_crc32 long, ids array<int>"
@@ -152,7 +155,7 @@ def read_records(index: DataFrame, out_dir: str, vocabulary: int = 49_408, check
         for big in batches:
             for low in range(0, big.num_rows, SLICE):
                 batch = big.slice(low, SLICE)
-                shards, at, size = (batch.column(i).to_pylist() for i in range(3))
+                shards, at, size, said = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
                 checks, lists, held, held_at = [], [], b"", -1
                 for i, (shard, offset, length) in enumerate(zip(shards, at, size, strict=True)):
                     if shard != name:
@@ -163,6 +166,8 @@ def read_records(index: DataFrame, out_dir: str, vocabulary: int = 49_408, check
                             end, j = end + size[j], j + 1
                         held, held_at = opened.read_at(end - offset, offset), offset
                     ids = np.frombuffer(unframe(held[offset - held_at : offset - held_at + length]), width).astype("<u4")
+                    if len(ids) != said[i]:
+                        raise CorruptRecord(f"the index says {said[i]} ids, the payload has {len(ids)}")
                     checks.append(zlib.crc32(ids.tobytes()))
                     if not checks_only:
                         lists.append(ids.astype(np.int32))

@@ -60,6 +60,15 @@ def test_records_round_trip(spark, words_path, shared):
     assert shuffled.count() == len(DOCS)
 
 
+def test_records_that_do_not_fit_are_errors(spark, words_path, shared):
+    out = shared("records")
+    index = records.write_records(frame(spark, DOCS), out, words_path, end_id=2)
+    with pytest.raises(Exception, match="CorruptRecord"):
+        records.read_records(index.withColumn("n_tokens", index.n_tokens + 1), out).collect()
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        records.write_records(frame(spark, DOCS), shared("records"), words_path, end_id=2, vocabulary=100)
+
+
 def test_records_of_nothing(spark, words_path, shared):
     out = shared("records")
     index = records.write_records(frame(spark, []), out, words_path, end_id=2)
