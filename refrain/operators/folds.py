@@ -304,11 +304,11 @@ def from_segments(segments: list[Segment]) -> pd.DataFrame:
 
 
 def fold_segments(segments: DataFrame, fold: Callable[[list[Segment]], list[Segment]], key: str = "series") -> DataFrame:
-    """A fold over the segments of each series, in (start, end, names) order."""
+    """A fold over the segments of each series, in (start, end, names, confidence) order."""
 
     def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = [to_segment(r) for r in group.to_dict("records")]
-        out = from_segments(fold(sorted(rows, key=lambda s: (s.start, s.end, s.episodes))))
+        out = from_segments(fold(sorted(rows, key=lambda s: (s.start, s.end, s.episodes, s.confidence))))
         out.insert(0, key, k[0])
         return out
 

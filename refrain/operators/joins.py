@@ -47,24 +47,54 @@ def dense_regions(times: list[tuple[float, float]], gap: float = 3.0, least: flo
     return out
 
 
-def landmark_regions(matches: DataFrame, width: float = 5.0) -> DataFrame:
-    """JN-3: pair_matches rows, from one fold per (ep1, ep2, offset bin)."""
-    binned = matches.withColumn("bin", F.round((F.col("t2") - F.col("t1")) / width).cast("int"))
-
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = dense_regions(list(zip(group["t1"], group["t2"], strict=True)))
-        rows = [(key[0], key[1], s1, e1, s2, e2, n, float(n)) for s1, e1, s2, e2, n in found]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
-
-    return binned.groupBy("ep1", "ep2", "bin").applyInPandas(fold, PAIR_SCHEMA)
+def landmark_regions(matches: DataFrame, width: float = 5.0, gap: float = 3.0, least: float = 5.0, most: float = 240.0, density: float = 0.05, count: int = 3) -> DataFrame:
+    """JN-3: pair_matches rows, :func:`dense_regions` of each (ep1, ep2, offset bin), folded over its sorted times in the JVM."""
+    bin_ = F.round((F.col("t2") - F.col("t1")) / width).cast("int")
+    binned = matches.groupBy("ep1", "ep2", bin_.alias("bin")).agg(F.sort_array(F.collect_list(F.struct("t1", "t2"))).alias("m"))
+    # Bins that can hold no region: too few matches, or too short a span.
+    binned = binned.filter((F.size("m") >= count) & (F.element_at("m", -1)["t1"] - F.element_at("m", 1)["t1"] >= least))
+
+    def state(found: Column, s1: Column, s2: Column, l1: Column, l2: Column, n: Column) -> Column:
+        return F.struct(found.alias("found"), s1.alias("s1"), s2.alias("s2"), l1.alias("l1"), l2.alias("l2"), n.alias("n"))
+
+    def closed(a: Column) -> Column:
+        d1, d2 = a["l1"] - a["s1"], a["l2"] - a["s2"]
+        good = (a["n"] >= count) & (a["n"] / F.greatest(d1, F.lit(1.0)) >= density) & d1.between(least, most) & d2.between(least, most)
+        run = F.struct(a["s1"].alias("start1"), a["l1"].alias("end1"), a["s2"].alias("start2"), a["l2"].alias("end2"), a["n"].alias("n"))
+        return F.when(good, F.concat(a["found"], F.array(run))).otherwise(a["found"])
+
+    def step(a: Column, x: Column) -> Column:
+        after = x["t1"] - a["s1"]
+        goes_on = (x["t1"] - a["l1"] < gap) & (after < most) & ((a["n"] + 1) / F.greatest(after, F.lit(1.0)) >= density)
+        more, new = state(a["found"], a["s1"], a["s2"], x["t1"], x["t2"], a["n"] + 1), state(closed(a), x["t1"], x["t2"], x["t1"], x["t2"], F.lit(1))
+        return F.when((a["n"] > 0) & goes_on, more).otherwise(new)
+
+    runs = "array<struct<start1:double,end1:double,start2:double,end2:double,n:int>>"
+    zero = F.lit(0.0)
+    start = state(F.array().cast(runs), zero, zero, zero, zero, F.lit(0))
+    found = binned.select("ep1", "ep2", F.explode(F.aggregate("m", start, step, closed)).alias("r"))
+    return found.select(F.col("ep1").cast("long").alias("ep1"), F.col("ep2").cast("long").alias("ep2"), "r.start1", "r.end1", "r.start2", "r.end2", F.col("r.n").alias("match_count"), F.col("r.n").cast("double").alias("score"))
+
+
+def dealt_pairs(one: DataFrame, two: DataFrame, keep: Column, size: int) -> DataFrame:
+    """All pairs of rows of two tables for which ``keep`` holds, by an equi-join on pairs of blocks of about ``size`` rows.
+
+    Each row goes into a block at random and to every block of the other table, so the work is
+    split evenly whatever the keys.
+    """
+    blocks = [max(1, -(-df.count() // size)) for df in (one, two)]
+    block = lambda df, n: F.pmod(F.xxhash64(*df.columns[:2]), F.lit(n)).cast("int")
+    a = one.withColumns({"bx": block(one, blocks[0]), "by": F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1)))})
+    b = two.withColumns({"by": block(two, blocks[1]), "bx": F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1)))})
+    return a.join(b.hint("merge"), ["bx", "by"]).filter(keep).drop("bx", "by")
 
 
-def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "hash", blocks: int = 16) -> DataFrame:
+def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "hash", block_rows: int = 8192) -> DataFrame:
     """JN-4, JN-5: (a, b, distance) of rows with a < b whose words are within ``radius`` bits; exact for any radius.
 
     Up to ``BAND_LIMIT`` bits the words are cut into radius + 1 bands, one of which has to be
     equal (pigeonhole), so the join is by (band, value). Above, bands get too short to tell
-    words apart: rows are dealt into blocks, and each pair of blocks is compared in one task.
+    words apart: rows are dealt into blocks of about ``block_rows``, and each pair of blocks is compared in one task.
     """
     rows = words.select(F.col(key).alias("id"), F.col(value).alias("h"))
     if radius <= BAND_LIMIT:
@@ -74,6 +104,7 @@ def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "h
         other = cut.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "part")
         near = cut.join(other.hint("merge"), ["band", "part"]).filter((F.col("id") < F.col("b")) & (hamming(F.col("h"), F.col("hb")) <= radius))
         return near.select(F.col("id").alias("a"), "b", hamming(F.col("h"), F.col("hb")).alias("distance")).distinct()
+    blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     left = left.filter("block <= other").withColumnsRenamed({"id": "x", "h": "hx"})
@@ -125,16 +156,21 @@ def leader_clusters(rows: DataFrame, radius: int) -> DataFrame:
     return rows.join(best.hint("merge"), "id")
 
 
-def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column], largest: bool, accept: Callable[[Column], Column]) -> DataFrame:
+def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column], largest: bool, accept: Callable[[Column], Column], block_rows: int = 2048) -> DataFrame:
     """JN-6, JN-7, JN-8: for each window (episode_id, pos, start_time, end_time, values) the best one of each later sequence; ties to the earlier position.
 
-    Sequences are joined pairwise by design (ep1 < ep2); a table holds the windows of one series.
+    Sequences are joined pairwise by design (ep1 < ep2); a table holds the windows of one
+    series. Where windows have a ``region`` (and ``whole``: the sequence is in all regions),
+    they meet inside it, and two whole sequences only once.
     """
-    names = ("ep", "pos", "start", "end", "v")
-    side = lambda i: windows.select(*[F.col(c).alias(f"{n}{i}") for c, n in zip(("episode_id", "pos", "start_time", "end_time", "values"), names, strict=True)])
-    pairs = side(1).join(side(2), F.col("ep1") < F.col("ep2")).withColumn("score", score(F.col("v1"), F.col("v2"))).drop("v1", "v2")
+    if "region" not in windows.columns:
+        windows = windows.withColumns({"region": F.lit(0), "whole": F.lit(True)})
+    names = {"ep": "episode_id", "pos": "pos", "start": "start_time", "end": "end_time", "v": "values", "region": "region", "whole": "whole"}
+    side = lambda i: windows.select(*[F.col(c).alias(f"{n}{i}") for n, c in names.items()])
+    meet = (F.col("ep1") < F.col("ep2")) & (F.col("region1") == F.col("region2")) & ((F.col("region1") == 0) | ~F.col("whole1") | ~F.col("whole2"))
+    pairs = dealt_pairs(side(1), side(2), meet, block_rows).withColumn("score", score(F.col("v1"), F.col("v2"))).drop("v1", "v2")
     order = -F.col("score") if largest else F.col("score")
-    best = pairs.groupBy("ep1", "ep2", "pos1").agg(F.min_by(F.struct("start1", "end1", "start2", "end2", "pos2", "score"), F.struct(order, "pos2")).alias("m"))
+    best = pairs.groupBy("ep1", "ep2", "region1", "pos1").agg(F.min_by(F.struct("start1", "end1", "start2", "end2", "pos2", "score"), F.struct(order, "pos2")).alias("m"))
     return best.select("ep1", "ep2", "pos1", "m.*").filter(accept(F.col("score")))
 
 

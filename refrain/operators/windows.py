@@ -33,10 +33,16 @@ def analysis_vector(frames: DataFrame, width: int = 5) -> DataFrame:
 
 
 def vector_windows(frames: DataFrame, value: str, width: int, stride: int) -> DataFrame:
-    """WIN-6: (episode_id, pos, start_time, end_time, values) of every ``stride``-th window; the last start is below n - width."""
-    ahead = _order().rowsBetween(0, width - 1)
-    n = F.count("*").over(Window.partitionBy("episode_id"))
-    rows = frames.select("episode_id", F.col("frame_idx").alias("pos"), F.col("ts").alias("start_time"), F.last("ts").over(ahead).alias("end_time"), F.collect_list(value).over(ahead).alias("values"), n.alias("n"))
+    """WIN-6: (episode_id, pos, start_time, end_time, values) of every ``stride``-th window; the last start is below n - width.
+
+    Frames with a ``region`` (and ``whole``) are numbered anew in each, so that no window crosses from one into another.
+    """
+    inside = Window.partitionBy("episode_id", *(["region"] if "region" in frames.columns else []))
+    order = inside.orderBy("frame_idx")
+    ahead, n = order.rowsBetween(0, width - 1), F.count("*").over(inside)
+    kept = [c for c in ("region", "whole") if c in frames.columns]
+    pos = F.row_number().over(order) - 1 if kept else F.col("frame_idx")
+    rows = frames.select("episode_id", pos.alias("pos"), F.col("ts").alias("start_time"), F.last("ts").over(ahead).alias("end_time"), F.collect_list(value).over(ahead).alias("values"), n.alias("n"), *kept)
     return rows.filter((F.col("pos") % stride == 0) & (F.col("pos") < F.col("n") - width)).drop("n")
 
 

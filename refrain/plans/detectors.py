@@ -22,6 +22,8 @@ from ..operators import folds, intervals, joins, windows
 from ..operators.components import components
 from ..operators.folds import Match, Segment
 
+#: Whole sequences that a task compares with as many others.
+SEQUENCES = 32
 SEGMENTS = f"series int, {folds.SEGMENT_SCHEMA}"
 
 
@@ -49,12 +51,11 @@ def hash_groups(hashes: DataFrame, threshold: int, key: str = "hash", min_durati
     d = F.col("end_time") - F.col("start_time")
     out = hashes.groupBy(key).agg(
         F.count("*").alias("n"),
-        F.countDistinct("episode_id").alias("n_episodes"),
         F.avg("start_time").alias("start_time"),
         F.avg(d).alias("duration"),
         F.var_pop(d).alias("variance"),
         F.array_sort(F.collect_set("episode_id")).alias("episodes"),
-    )
+    ).withColumn("n_episodes", F.size("episodes").cast("long"))
     out = out.filter((F.col("n") >= threshold) & (F.col("n_episodes") >= threshold) & (F.col("duration") >= min_duration))
     return out.withColumns({"end_time": F.col("start_time") + F.col("duration"), "confidence": confidence(F.col("variance"), F.col("n"))}).drop("variance")
 
@@ -184,7 +185,7 @@ def time_shifted(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> D
     packed = frames.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "ts", "hash"))).alias("f"))
     a = packed.select(F.col("episode_id").alias("ep1"), F.col("f").alias("f1"))
     b = packed.select(F.col("episode_id").alias("ep2"), F.col("f").alias("f2"))
-    pairs = a.join(b, F.col("ep1") < F.col("ep2"))
+    pairs = joins.dealt_pairs(a, b, F.col("ep1") < F.col("ep2"), SEQUENCES)
     min_duration = cfg.min_duration
 
     def match(batches):
@@ -272,6 +273,14 @@ def head_and_tail(rows: DataFrame, seconds: float = 120.0, long: float = 600.0)
     return joined.filter((F.col("last") <= long) | (F.col("ts") < seconds) | (F.col("ts") > F.col("last") - seconds)).drop("last")
 
 
+def end_regions(rows: DataFrame, seconds: float = 120.0, long: float = 600.0) -> DataFrame:
+    """FLT-10 in two passes: ``region`` 0 is a sequence's first two minutes, 1 its last; one of up to ten minutes is ``whole`` in both."""
+    span = rows.groupBy("episode_id").agg(F.max("ts").alias("last"))
+    joined = rows.join(span, "episode_id").withColumn("whole", F.col("last") <= long)
+    first, last = F.when(F.col("whole") | (F.col("ts") < seconds), 0), F.when(F.col("whole") | (F.col("ts") > F.col("last") - seconds), 1)
+    return joined.withColumn("region", F.explode(F.array_compact(F.array(first, last)))).drop("last")
+
+
 def match_filter(matches: DataFrame, least: float = 0.0, most: float = 240.0, apart: float | None = None) -> DataFrame:
     """FLT-3, FLT-4: bounds on both sides' durations, and on their difference."""
     d1, d2 = F.col("end1") - F.col("start1"), F.col("end2") - F.col("start2")
@@ -321,8 +330,8 @@ def _mean_over(score):
 
 
 def mfcc(features: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60, stride: int = 15) -> DataFrame:
-    """DET-A2 on (episode_id, frame_idx, ts, coefficients, deltas, delta_deltas)."""
-    rows = head_and_tail(features.withColumn("value", F.struct("coefficients", "deltas", "delta_deltas")))
+    """DET-A2 on (episode_id, frame_idx, ts, coefficients, deltas, delta_deltas). Beginnings and endings are compared apart."""
+    rows = end_regions(features.withColumn("value", F.struct("coefficients", "deltas", "delta_deltas")))
     found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), _mean_over(mfcc_distance), False, lambda s: s < 0.35)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "mfcc")
 
@@ -368,7 +377,8 @@ def cross_correlation(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig)
     """DET-A6: JN-9 per pair, AGG-5, AGG-7."""
     chunk = cfg.window_frames or max(int(cfg.min_duration), 10)
     packed = frames.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "ts", "hash"))).alias("f"))
-    pairs = packed.select(F.col("episode_id").alias("ep1"), F.col("f").alias("f1")).join(packed.select(F.col("episode_id").alias("ep2"), F.col("f").alias("f2")), F.col("ep1") < F.col("ep2"))
+    one, two = (packed.select(F.col("episode_id").alias(f"ep{i}"), F.col("f").alias(f"f{i}")) for i in (1, 2))
+    pairs = joins.dealt_pairs(one, two, F.col("ep1") < F.col("ep2"), SEQUENCES)
 
     def match(batches):
         for batch in batches:

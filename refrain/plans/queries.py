@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..config import DetectConfig
 from ..functions import hashing, similarity, text
-from ..operators import intervals, joins, windows
+from ..operators import folds, intervals, joins, windows
 from ..operators.components import components
 from ..sinks import reports
 from ..sources import run_store
 from ..sources.sequences import conv_frames, doc_frames, emb_frames, evt_frames, line_segments, table
+from ..storage import fresh_dir
+from ..streaming import rolling
 from . import detectors, evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,7 +339,21 @@ def jn3(spark: SparkSession, sf: str) -> DataFrame:
     return joins.offset_bins(jn2(spark, sf))
 
 
-@query("jn3_regions")
+REGION = "CASE WHEN {a}.n >= 3 AND {a}.n / greatest({a}.l1 - {a}.s1, 1.0) >= 0.05 AND {a}.l1 - {a}.s1 BETWEEN 5 AND 240 AND {a}.l2 - {a}.s2 BETWEEN 5 AND 240 THEN list_append({a}.found, {{'start1': {a}.s1, 'end1': {a}.l1, 'start2': {a}.s2, 'end2': {a}.l2, 'n': {a}.n}}) ELSE {a}.found END"
+REGIONS = f"""
+WITH {DOC}, {_rolled(3)}, {MATCHES},
+b3 AS (SELECT ep1, ep2, round((t2 - t1) / 5.0)::INTEGER AS bin,
+  list({{'found': []::STRUCT(start1 DOUBLE, end1 DOUBLE, start2 DOUBLE, end2 DOUBLE, n INTEGER)[], 's1': t1, 's2': t2, 'l1': t1, 'l2': t2, 'n': 1}} ORDER BY t1, t2) AS xs FROM mm GROUP BY 1, 2, 3),
+red AS (SELECT ep1, ep2, list_reduce(xs, lambda a, x: CASE
+  WHEN x.l1 - a.l1 < 3 AND x.l1 - a.s1 < 240 AND (a.n + 1) / greatest(x.l1 - a.s1, 1.0) >= 0.05
+  THEN {{'found': a.found, 's1': a.s1, 's2': a.s2, 'l1': x.l1, 'l2': x.l2, 'n': a.n + 1}}
+  ELSE {{'found': {REGION.format(a="a")}, 's1': x.s1, 's2': x.s2, 'l1': x.l1, 'l2': x.l2, 'n': 1}} END) AS z FROM b3),
+reg AS (SELECT ep1, ep2, unnest({REGION.format(a="z")}) AS r FROM red)
+SELECT ep1::BIGINT AS ep1, ep2::BIGINT AS ep2, r.start1 AS start1, r.end1 AS end1, r.start2 AS start2, r.end2 AS end2, r.n AS match_count, r.n::DOUBLE AS score FROM reg
+"""
+
+
+@query("jn3_regions", REGIONS)
 def jn3_regions(spark: SparkSession, sf: str) -> DataFrame:
     return joins.landmark_regions(jn2(spark, sf))
 
@@ -498,9 +514,17 @@ def _label_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("label").alias("episode_id")).distinct().withColumn("name", F.concat(F.lit("label-"), F.col("episode_id").cast("string")))
 
 
-@query("detv0_full_duplicates")
+@query(
+    "detv0_full_duplicates",
+    DUPES.format("RECURSIVE")
+    + ", e AS (SELECT ep1 AS a, ep2 AS b FROM dp UNION ALL SELECT ep2, ep1 FROM dp), c AS (SELECT a AS node, a AS reach FROM e UNION SELECT c.node, e.b FROM c JOIN e ON c.reach = e.a), k AS (SELECT node, min(reach) AS component FROM c GROUP BY node), "
+    "sp AS (SELECT episode_id, min(ts) AS s, max(ts) AS e FROM f GROUP BY 1) "
+    "SELECT arg_min(s, node) AS start_time, arg_min(e, node) AS end_time, count(*)::INTEGER AS n_episodes, min(node)::BIGINT AS first, 1.0::DOUBLE AS confidence FROM k JOIN sp ON node = episode_id GROUP BY component HAVING count(*) >= 2 AND arg_min(e, node) - arg_min(s, node) >= 2",
+)
 def detv0(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.full_duplicates(doc_frames(spark, sf), _doc_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0))
+    found = detectors.full_duplicates(doc_frames(spark, sf), _doc_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0))
+    first = F.array_min(F.transform("episode_list", lambda x: F.regexp_extract(x, "([0-9]+)", 1).cast("long")))
+    return found.select("start_time", "end_time", F.size("episode_list").alias("n_episodes"), first.alias("first"), "confidence")
 
 
 @query("deta5_spectral_hash")
@@ -527,7 +551,9 @@ def deta4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("deta6_cross_correlation")
 def deta6(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.cross_correlation(emb_frames(spark, sf), _label_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0, window_frames=5))
+    # One bit of a word: by chance alone chunks agree now and then.
+    frames = emb_frames(spark, sf).withColumn("hash", F.col("hash").bitwiseAND(F.lit(1)))
+    return detectors.cross_correlation(frames, _label_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0, window_frames=10))
 
 
 @query("detv4_ssim")
@@ -537,7 +563,130 @@ def detv4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("detv5_time_shifted")
 def detv5(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.time_shifted(emb_frames(spark, sf), _label_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0))
+    # Two sequences, long enough for chunks of 50, of words with four bits: by chance less than three bits a word differ.
+    order = Window.partitionBy("episode_id").orderBy("vec_id")
+    rows = emb_frames(spark, sf).select((F.col("vec_id") % 2).alias("episode_id"), "vec_id", F.col("hash").bitwiseAND(F.lit(15)).alias("hash"))
+    frames = rows.withColumn("frame_idx", F.row_number().over(order) - 1).withColumn("ts", F.col("frame_idx").cast("double"))
+    return detectors.time_shifted(frames, _label_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0))
+
+
+@query("deta2_mfcc")
+def deta2(spark: SparkSession, sf: str) -> DataFrame:
+    value = F.transform("embedding", lambda x: x.cast("double") / 8)
+    # Labels hold more than ten minutes of rows, at 0.1 s a row, from sf0.1 on.
+    rows = emb_frames(spark, sf).select("episode_id", "frame_idx", (F.col("ts") * 0.1).alias("ts"), value.alias("coefficients"), value.alias("deltas"), value.alias("delta_deltas"))
+    return detectors.mfcc(rows, _label_names(spark, sf), DetectConfig(threshold=2, min_duration=0.1), width=5, stride=15)
+
+
+SUPPLIES = "s AS (SELECT l_suppkey::BIGINT AS series, (l_orderkey % 5000)::DOUBLE AS start_time, (l_orderkey % 5000)::DOUBLE + l_quantity::DOUBLE / 4 AS end_time, 'p' || (l_partkey % 20)::VARCHAR AS name, l_discount::DOUBLE AS confidence FROM lineitem)"
+
+
+def _fold_sql(joins_: str, end: str, names: str, value: str) -> str:
+    """A fold over each series' segments in order: ``a`` is the segment so far, ``b`` the next one, which ``joins_`` it or stands alone."""
+    own = "{{'s': {0}.s, 'e': {0}.e, 'eps': {0}.eps, 'c': {0}.c}}"
+    return f"""
+WITH {SUPPLIES},
+o AS (SELECT series, list({{'found': []::STRUCT(s DOUBLE, e DOUBLE, eps VARCHAR[], c DOUBLE)[], 's': start_time, 'e': end_time, 'eps': [name], 'c': confidence}} ORDER BY start_time, end_time, name, confidence) AS xs FROM s GROUP BY series),
+r AS (SELECT series, list_reduce(xs, lambda a, b: CASE WHEN {joins_}
+  THEN {{'found': a.found, 's': a.s, 'e': {end}, 'eps': {names}, 'c': {value}}}
+  ELSE {{'found': list_append(a.found, {own.format("a")}), 's': b.s, 'e': b.e, 'eps': b.eps, 'c': b.c}} END) AS z FROM o),
+u AS (SELECT series, unnest(list_append(z.found, {own.format("z")})) AS x FROM r)
+SELECT series, x.s AS start_time, x.e AS end_time, array_to_string(x.eps, ',') AS episodes, x.c AS confidence FROM u
+"""
+
+
+def _supplies(spark: SparkSession, sf: str) -> DataFrame:
+    start = (F.col("l_orderkey") % 5000).cast("double")
+    none = F.lit(None).cast("double")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("series"),
+        start.alias("start_time"),
+        (start + F.col("l_quantity").cast("double") / 4).alias("end_time"),
+        F.array(F.concat(F.lit("p"), (F.col("l_partkey") % 20).cast("string"))).alias("episode_list"),
+        F.lit(None).cast("array<struct<episode_name:string,start_time:double,end_time:double>>").alias("episode_timings"),
+        F.col("l_discount").cast("double").alias("confidence"),
+        none.alias("video_confidence"),
+        none.alias("audio_confidence"),
+        F.lit("audio").alias("match_type"),
+    )
+
+
+def _folded(spark: SparkSession, sf: str, fold) -> DataFrame:
+    out = folds.fold_segments(_supplies(spark, sf), fold)
+    return out.select("series", "start_time", "end_time", F.array_join("episode_list", ",").alias("episodes"), "confidence")
+
+
+UNION_LIST = "list_concat(a.eps, list_filter(b.eps, lambda x: NOT list_contains(a.eps, x)))"
+
+
+@query("int2_set1_merge", _fold_sql("a.e > b.s OR b.s - a.e <= 2", "greatest(a.e, b.e)", UNION_LIST, "greatest(a.c, b.c)"))
+def int2(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded(spark, sf, folds.merge_segments)
+
+
+@query("int3_running_merge", _fold_sql("b.s - a.e <= 5", "greatest(a.e, b.e)", "list_sort(list_distinct(list_concat(a.eps, b.eps)))", "(a.c + b.c) / 2"))
+def int3(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded(spark, sf, folds.merge_segments_running)
+
+
+HALF = "least(a.e, b.e) - greatest(a.s, b.s) > 0 AND least(a.e, b.e) - greatest(a.s, b.s) >= 0.5 * least(a.e - a.s, b.e - b.s)"
+
+
+@query("int5_audio_merge", _fold_sql(f"({HALF}) OR (b.s - a.e >= 0 AND b.s - a.e < 2 AND a.e - a.s < 60 AND b.e - b.s < 60)", "greatest(a.e, b.e)", UNION_LIST, "greatest(a.c, b.c)"))
+def int5(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded(spark, sf, folds.merge_audio)
+
+
+@query("int10_srt2_near_repeats", _fold_sql("abs(a.s - b.s) < 3.0 AND abs(a.e - b.e) < 3.0", "a.e", "a.eps", "a.c"))
+def int10(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded(spark, sf, lambda found: folds.drop_near_repeats(found, 3.0))
+
+
+@query(
+    "flt1_min_duration",
+    f"WITH {DOC}, {_rolled(3)} SELECT hash, count(*) AS n, count(DISTINCT episode_id) AS n_episodes, round(avg(end_time - start_time), 6) AS duration FROM (SELECT hash, episode_id, start_time, end_time + (episode_id % 3)::DOUBLE AS end_time FROM r) GROUP BY hash HAVING count(*) >= 2 AND count(DISTINCT episode_id) >= 2 AND avg(end_time - start_time) >= 3",
+)
+def flt1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    rolled = windows.rolling_hash(doc_frames(spark, sf), 3).withColumn("end_time", F.col("end_time") + (F.col("episode_id") % 3).cast("double"))
+    return detectors.hash_groups(rolled, 2, "hash", 3.0).select("hash", "n", "n_episodes", r6("duration", "duration"))
+
+
+@query(
+    "detv1_jn13_opening",
+    f"WITH {EMB}, z AS (SELECT episode_id, count(*) AS n FROM f GROUP BY 1), low AS (SELECT CASE WHEN min(n) < 5 THEN 0 ELSE min(n) END AS low FROM z), "
+    "h AS (SELECT f.* FROM f, low WHERE frame_idx < least(160, low)), q AS (SELECT frame_idx, hash AS ref FROM h WHERE episode_id = (SELECT min(episode_id) FROM f)), "
+    "w AS (SELECT episode_id, max(bit_count(xor(hash, ref))) AS worst, min(ts) AS s, max(ts) AS e FROM h JOIN q USING (frame_idx) GROUP BY 1) "
+    "SELECT min(s) AS start_time, max(e) AS end_time, count(*)::INTEGER AS n_episodes, 1.0::DOUBLE AS confidence, 'video' AS match_type FROM w WHERE worst <= 51 HAVING count(*) >= 2 AND max(e) - min(s) >= 2",
+)
+def detv1(spark: SparkSession, sf: str) -> DataFrame:
+    out = detectors.opening(emb_frames(spark, sf), _label_names(spark, sf), DetectConfig(threshold=2, min_duration=2.0, similarity_threshold=0.2))
+    return out.select("start_time", "end_time", F.size("episode_list").alias("n_episodes"), "confidence", "match_type")
+
+
+@query("s25_synthetic_signature", f"WITH {EMB} SELECT vec_id, round(u / 18446744073709551616.0, 6) AS a, round((u >> 32) / 4294967295.0, 6) AS b, round((u & 4294967295) / 4294967295.0, 6) AS c, round(((u >> 16) & 65535) / 65535.0, 6) AS d FROM f")
+def s25(spark: SparkSession, sf: str) -> DataFrame:
+    parts = hashing.synthetic_signature(F.col("hash"))
+    return emb_frames(spark, sf).withColumn("sig", parts).select("vec_id", *[r6(F.col("sig")[i], c) for i, c in enumerate("abcd")])
+
+
+SPREAD = 0x3333333333333333
+
+
+@query("jn4_spread_words", f"WITH {EMB}, g AS (SELECT vec_id, hash & {SPREAD} AS h FROM f) SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.h, y.h))::INTEGER AS distance FROM g x JOIN g y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 5")
+def jn4_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.hamming_join(emb_frames(spark, sf).select("vec_id", F.col("hash").bitwiseAND(F.lit(SPREAD)).alias("hash")), 5, "vec_id")
+
+
+@query("str1_stream_rolling_hash", f"WITH {CONV}, {_rolled(3)} SELECT episode_id, frame_idx::BIGINT AS frame_idx, hash, start_time, end_time FROM r")
+def str1(spark: SparkSession, sf: str) -> DataFrame:
+    """The frames of conversations as a stream that arrives in two parts, by two runs over one checkpoint."""
+    frames = conv_frames(spark, sf).select("episode_id", F.col("frame_idx").cast("long").alias("frame_idx"), "ts", "hash")
+    arriving, out, checkpoint = (fresh_dir(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    for late in (False, True):
+        frames.filter((F.col("frame_idx") >= 2) == F.lit(late)).write.mode("append").parquet(arriving)
+        stream = rolling.stream_rolling_hash(spark.readStream.schema(frames.schema).parquet(arriving), 3)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rolling.OUT).parquet(out)
 
 
 @query("snk5_json_summary")

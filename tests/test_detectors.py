@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from refrain.config import DetectConfig
+from refrain.operators import joins, windows
 from refrain.plans import detectors, evaluate
 from refrain.sinks import reports
 from refrain.sources import media, run_store
@@ -101,8 +104,6 @@ def test_audio_hash_detectors(spark):
 
 
 def test_vector_detectors(spark):
-    from pyspark.sql import functions as F
-
     frames, names = planted(spark, length=70, at=(30, 30, 30), run=30)
     vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: (F.shiftright(F.col("hash"), 4) % (i + 7)).cast("float"))
     bands = frames.select("episode_id", "frame_idx", "ts", vector.alias("bands"), F.lit(1.0).alias("rms_energy"))
@@ -190,3 +191,36 @@ def test_reports(spark):
 def test_correlation_cursor():
     shared = list(range(100, 112))
     assert detectors.correlation_matches([1] * 12 + shared, [2] * 12 + shared, 12)[-1] == (12, 12, 1.0)
+
+
+def test_mfcc_finds_endings_of_long_sequences_at_their_times(spark):
+    rng = np.random.default_rng(9)
+    shared, rows = rng.normal(size=(60, 3)), []
+    starts = {1: 905, 2: 931, 3: 920}
+    for ep, at in starts.items():
+        v = rng.normal(size=(1000, 3)) * 5 + 40 * ep
+        v[at : at + 60] = shared
+        rows += [(ep, i, float(i), x.tolist(), x.tolist(), x.tolist()) for i, x in enumerate(v)]
+    feats = spark.createDataFrame(rows, "episode_id long, frame_idx long, ts double, coefficients array<double>, deltas array<double>, delta_deltas array<double>")
+    names = spark.createDataFrame([(e, f"e{e}") for e in starts], "episode_id long, name string")
+    wide = windows.vector_windows(detectors.end_regions(feats.withColumn("value", F.col("coefficients"))), "value", 20, 1)
+    assert wide.filter("end_time - start_time <> 19").count() == 0  # none crosses from the beginning into the ending
+    assert wide.groupBy("episode_id", "region").count().filter("count <> 100").count() == 0
+    found = detectors.mfcc(feats, names, DetectConfig(threshold=3, min_duration=15.0), width=20, stride=1).collect()
+    assert len(found) == 1 and found[0].start_time == 905.0 and found[0].end_time == 990.0
+    assert {t.episode_name: (t.start_time, t.end_time) for t in found[0].episode_timings} == {f"e{e}": (float(at), float(at + 59)) for e, at in starts.items()}
+
+
+def test_jvm_regions_equal_the_plain_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, 2, float(t), float(t + rng.integers(-1, 2))) for t in np.sort(rng.choice(400, 150, replace=False))]
+    matches = spark.createDataFrame(rows, "ep1 long, ep2 long, t1 double, t2 double")
+    got = sorted((r.start1, r.end1, r.start2, r.end2, r.match_count) for r in joins.landmark_regions(matches).collect())
+    assert got == sorted(joins.dense_regions([(a, b) for *_, a, b in rows])) and got
+
+
+def test_pairs_are_dealt_once(spark):
+    one = spark.range(50).selectExpr("id as a", "id % 3 as k")
+    two = spark.range(70).selectExpr("id as b", "id % 5 as l")
+    got = joins.dealt_pairs(one, two, F.col("a") < F.col("b"), 7).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(50) for b in range(70) if a < b]
