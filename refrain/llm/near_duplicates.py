@@ -170,8 +170,10 @@ def _settle(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int)
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """``comps`` (node, component) after links (ca, cb) between components. A component of one node may be missing from ``comps``."""
     over = components(links, "ca", "cb").select(F.col("node").alias("was"), F.col("component").alias("now"))
-    both = comps.join(over.hint("merge"), F.col("component") == F.col("was"), "full_outer")
-    return materialize(both.select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "component").alias("component")), "labels")
+    # A component's own node is in ``comps``, so nodes tell what is missing there; only the join by component has hot keys, and can be split.
+    moved = comps.join(over.hint("merge"), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    single = over.join(comps.select("node").hint("merge"), F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return materialize(moved.unionByName(single), "labels")
 
 
 def _classes(docs: DataFrame, words: int, percent: int, rows: int, link: str) -> tuple[DataFrame, DataFrame]:
