@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``docs``. :func:`run` writes each stage's result to the shared folder and reads
 it again as the next one's input, so a lost executor costs part of one stage.
+
+Defined results of all stages: a null or empty text is never toxic, leaking, or a copy, and
+is packed as an empty document; decisions are by row, whatever its doc_id (null or repeated);
+the order among equal candidates is by doc_id, null last, then by the text's digest; an
+empty table gives an empty one; other columns, whatever their names, are passed on by all
+stages but the last.
 """
 
 from __future__ import annotations
