@@ -11,13 +11,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the directory set on the context; a folder of our own where neither is set (local runs)."""
+    """spark.checkpoint.dir, or the directory set on the context; a folder of our own where neither is set and everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by_code.isDefined():
         return set_by_code.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='refrain-')}"

@@ -63,6 +63,6 @@ def stream_sessions(frames: DataFrame, gap: str = "2 seconds", late: str = "1 mi
 
 
 def stream_recurrence(hashes: DataFrame, every: str = "1 hour", late: str = "10 minutes", threshold: int = 3) -> DataFrame:
-    """Window hashes that show up in ``threshold`` or more rows of an hour, from a stream with ``event_time``."""
+    """Window hashes that show up in ``threshold`` or more rows, and sequences, of an hour, from a stream with ``event_time``."""
     counted = hashes.withWatermark("event_time", late).groupBy(F.window("event_time", every), "hash").agg(F.count("*").alias("n"), F.approx_count_distinct("episode_id").alias("episodes"))
-    return counted.filter(F.col("n") >= threshold)
+    return counted.filter((F.col("n") >= threshold) & (F.col("episodes") >= threshold))
