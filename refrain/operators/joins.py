@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming
 from ..storage import discard, materialize
+from .windows import series_of
 
 BAND_LIMIT = 8
 PAIR_SCHEMA = "ep1 long, ep2 long, start1 double, end1 double, start2 double, end2 double, match_count int, score double"
 
 
 def landmark_matches(landmarks: DataFrame) -> DataFrame:
-    """JN-2: (ep1, ep2, t1, t2) of equal hashes in two sequences, ep1 < ep2. A sort-merge join; adaptive execution splits hot hashes."""
-    a = landmarks.select("hash", F.col("episode_id").alias("ep1"), F.col("ts").alias("t1"))
-    b = landmarks.select("hash", F.col("episode_id").alias("ep2"), F.col("ts").alias("t2"))
-    return a.join(b.hint("merge"), "hash").filter("ep1 < ep2").select("ep1", "ep2", "t1", "t2")
+    """JN-2: (ep1, ep2, t1, t2) of equal hashes in two sequences (of a series), ep1 < ep2. A sort-merge join; adaptive execution splits hot hashes."""
+    keys = ["hash", *series_of(landmarks)]
+    a = landmarks.select(*keys, F.col("episode_id").alias("ep1"), F.col("ts").alias("t1"))
+    b = landmarks.select(*keys, F.col("episode_id").alias("ep2"), F.col("ts").alias("t2"))
+    return a.join(b.hint("merge"), keys).filter("ep1 < ep2").select("ep1", "ep2", "t1", "t2")
 
 
 def offset_bins(matches: DataFrame, width: float = 5.0) -> DataFrame:
@@ -76,17 +78,33 @@ def landmark_regions(matches: DataFrame, width: float = 5.0, gap: float = 3.0, l
     return found.select(F.col("ep1").cast("long").alias("ep1"), F.col("ep2").cast("long").alias("ep2"), "r.start1", "r.end1", "r.start2", "r.end2", F.col("r.n").alias("match_count"), F.col("r.n").cast("double").alias("score"))
 
 
+def block_counts(df: DataFrame, size: int, within: list[str], name: str = "nb") -> DataFrame:
+    """``df`` with the number of blocks of about ``size`` rows that its rows, or those with the same ``within``, make up."""
+    if not within:
+        return df.withColumn(name, F.lit(max(1, -(-df.count() // size))))
+    counts = materialize(df.groupBy(*within).agg(F.ceil(F.count("*") / size).cast("int").alias(name)), "blocks")
+    # A table of its own, so that a hot series can be split.
+    return df.join(counts.hint("merge"), within)
+
+
 def dealt_pairs(one: DataFrame, two: DataFrame, keep: Column, size: int) -> DataFrame:
-    """All pairs of rows of two tables for which ``keep`` holds, by an equi-join on pairs of blocks of about ``size`` rows.
+    """All pairs of rows of two tables (of a series, where both have the column) for which ``keep`` holds, by an equi-join on pairs of blocks of about ``size`` rows.
 
     Each row goes into a block at random and to every block of the other table, so the work is
     split evenly whatever the keys.
     """
-    blocks = [max(1, -(-df.count() // size)) for df in (one, two)]
-    block = lambda df, n: F.pmod(F.xxhash64(*df.columns[:2]), F.lit(n)).cast("int")
-    a = one.withColumns({"bx": block(one, blocks[0]), "by": F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1)))})
-    b = two.withColumns({"by": block(two, blocks[1]), "bx": F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1)))})
-    return a.join(b.hint("merge"), ["bx", "by"]).filter(keep).drop("bx", "by")
+    within = series_of(one) if series_of(two) else []
+    place = lambda df: F.pmod(F.xxhash64(*[c for c in df.columns if c not in within][:2]), F.lit(1 << 30)).cast("int")
+    if within:
+        sizes = [materialize(df.groupBy(*within).agg(F.ceil(F.count("*") / size).cast("int").alias(n)), "blocks") for df, n in ((one, "nx"), (two, "ny"))]
+        blocks = materialize(sizes[0].join(sizes[1].hint("merge"), within), "blocks")
+        a, b = (df.withColumn("place", place(df)).join(blocks.hint("merge"), within) for df in (one, two))
+    else:
+        counts = {n: F.lit(max(1, -(-df.count() // size))) for df, n in ((one, "nx"), (two, "ny"))}
+        a, b = (df.withColumns({"place": place(df), **counts}) for df in (one, two))
+    a = a.withColumns({"bx": F.pmod("place", "nx"), "by": F.explode(F.sequence(F.lit(0), F.col("ny") - 1))}).drop("place", "nx", "ny")
+    b = b.withColumns({"by": F.pmod("place", "ny"), "bx": F.explode(F.sequence(F.lit(0), F.col("nx") - 1))}).drop("place", "nx", "ny")
+    return a.join(b.hint("merge"), [*within, "bx", "by"]).filter(keep).drop("bx", "by")
 
 
 def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "hash", block_rows: int = 8192) -> DataFrame:
@@ -94,22 +112,23 @@ def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "h
 
     Up to ``BAND_LIMIT`` bits the words are cut into radius + 1 bands, one of which has to be
     equal (pigeonhole), so the join is by (band, value). Above, bands get too short to tell
-    words apart: rows are dealt into blocks of about ``block_rows``, and each pair of blocks is compared in one task.
+    words apart: rows are dealt into blocks of about ``block_rows``, and each pair of blocks is
+    compared in one task. Words with a ``series`` are compared inside it.
     """
-    rows = words.select(F.col(key).alias("id"), F.col(value).alias("h"))
+    within = series_of(words)
+    rows = words.select(F.col(key).alias("id"), F.col(value).alias("h"), *within)
     if radius <= BAND_LIMIT:
         edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
         bands = F.array(*[F.shiftrightunsigned(F.shiftleft("h", 64 - b), 64 - b + a) if b < 64 else F.shiftrightunsigned("h", a) for a, b in zip(edges, edges[1:], strict=False)])
-        cut = rows.select("id", "h", F.posexplode(bands).alias("band", "part"))
-        other = cut.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "part")
-        near = cut.join(other.hint("merge"), ["band", "part"]).filter((F.col("id") < F.col("b")) & (hamming(F.col("h"), F.col("hb")) <= radius))
+        cut = rows.select("id", "h", *within, F.posexplode(bands).alias("band", "part"))
+        other = cut.select(F.col("id").alias("b"), F.col("h").alias("hb"), *within, "band", "part")
+        near = cut.join(other.hint("merge"), [*within, "band", "part"]).filter((F.col("id") < F.col("b")) & (hamming(F.col("h"), F.col("hb")) <= radius))
         return near.select(F.col("id").alias("a"), "b", hamming(F.col("h"), F.col("hb")).alias("distance")).distinct()
-    blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    left = left.filter("block <= other").withColumnsRenamed({"id": "x", "h": "hx"})
-    right = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).filter("block >= other")
-    right = right.select(F.col("id").alias("y"), F.col("h").alias("hy"), F.col("other").alias("block"), F.col("block").alias("other"))
+    counted = block_counts(rows, block_rows, within)
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    dealt = dealt.select("id", "h", *within, "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    left = dealt.filter("block <= other").withColumnsRenamed({"id": "x", "h": "hx"})
+    right = dealt.filter("block >= other").select(F.col("id").alias("y"), F.col("h").alias("hy"), *within, F.col("other").alias("block"), F.col("block").alias("other"))
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -123,18 +142,20 @@ def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "h
                         out.append((min(x, y[i]), max(x, y[i]), int(d[i])))
         return pd.DataFrame(out, columns=["a", "b", "distance"])
 
-    return left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(compare, "a long, b long, distance int")
+    keys = [*within, "block", "other"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long, distance int")
 
 
-def leader_clusters(rows: DataFrame, radius: int) -> DataFrame:
-    """Leader clustering of (id, hash) rows in id order, exact and distributed: adds ``leader``.
+def leader_clusters(rows: DataFrame, radius: int, first_fit: bool = False) -> DataFrame:
+    """Leader clustering of (id, hash) rows (of each series) in id order, exact and distributed: adds ``leader`` and ``distance``.
 
-    In order, a row joins the nearest leader within ``radius`` (ties to the earlier leader), or
-    becomes one. The leaders are the greedy independent set of the similarity graph, which
+    In order, a row joins the nearest leader within ``radius`` (ties to the earlier leader; with
+    ``first_fit`` the earliest one), or becomes one. The leaders are the greedy independent set of the similarity graph, which
     rounds over all rows find: a row with no undecided or leading neighbour before it leads;
     a row with a leader before it follows. Equal words are one vertex, at their first row.
     """
-    words = materialize(rows.groupBy("hash").agg(F.min("id").alias("id")), "words")
+    within = series_of(rows)
+    words = materialize(rows.groupBy("hash", *within).agg(F.min("id").alias("id")), "words")
     edges = materialize(hamming_join(words, radius), "edges")
     # state: 0 undecided, 1 leads, 2 follows
     state = materialize(words.select("id", F.lit(0).alias("state")), "state")
@@ -151,22 +172,23 @@ def leader_clusters(rows: DataFrame, radius: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     near = both.join(leaders.hint("merge"), F.col("a") == F.col("leader")).select("leader", F.col("b").alias("word"), "distance")
     near = near.unionByName(leaders.select("leader", F.col("leader").alias("word"), F.lit(0).alias("distance")))
-    placed = rows.join(words.withColumnRenamed("id", "word").hint("merge"), "hash").join(near.hint("merge"), "word").filter("leader <= id")
-    best = placed.groupBy("id").agg(F.min(F.struct("distance", "leader")).alias("x")).select("id", "x.leader", "x.distance")
+    placed = rows.join(words.withColumnRenamed("id", "word").hint("merge"), ["hash", *within]).join(near.hint("merge"), "word").filter("leader <= id")
+    order = F.struct("leader", "distance") if first_fit else F.struct("distance", "leader")
+    best = placed.groupBy("id").agg(F.min(order).alias("x")).select("id", "x.leader", "x.distance")
     return rows.join(best.hint("merge"), "id")
 
 
 def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column], largest: bool, accept: Callable[[Column], Column], block_rows: int = 2048) -> DataFrame:
     """JN-6, JN-7, JN-8: for each window (episode_id, pos, start_time, end_time, values) the best one of each later sequence; ties to the earlier position.
 
-    Sequences are joined pairwise by design (ep1 < ep2); a table holds the windows of one
-    series. Where windows have a ``region`` (and ``whole``: the sequence is in all regions),
+    Sequences are joined pairwise by design (ep1 < ep2), those of one series where windows have
+    the column. Where windows have a ``region`` (and ``whole``: the sequence is in all regions),
     they meet inside it, and two whole sequences only once.
     """
     if "region" not in windows.columns:
         windows = windows.withColumns({"region": F.lit(0), "whole": F.lit(True)})
     names = {"ep": "episode_id", "pos": "pos", "start": "start_time", "end": "end_time", "v": "values", "region": "region", "whole": "whole"}
-    side = lambda i: windows.select(*[F.col(c).alias(f"{n}{i}") for n, c in names.items()])
+    side = lambda i: windows.select(*[F.col(c).alias(f"{n}{i}") for n, c in names.items()], *series_of(windows))
     meet = (F.col("ep1") < F.col("ep2")) & (F.col("region1") == F.col("region2")) & ((F.col("region1") == 0) | ~F.col("whole1") | ~F.col("whole2"))
     pairs = dealt_pairs(side(1), side(2), meet, block_rows).withColumn("score", score(F.col("v1"), F.col("v2"))).drop("v1", "v2")
     order = -F.col("score") if largest else F.col("score")
@@ -175,40 +197,61 @@ def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column
 
 
 def full_duplicates(frames: DataFrame, sampled: DataFrame, ratio: float = 0.95) -> DataFrame:
-    """JN-12: pairs of sequences of equal length whose sampled positions agree in at least ``ratio`` of cases.
+    """JN-12: pairs of sequences of equal length (of a series) whose sampled positions agree in at least ``ratio`` of cases.
 
     Candidates share a length and some sampled frame, so the join is by (n, position, hash);
     a pair with no equal frame can't reach any positive ratio.
     """
-    own = sampled.select("episode_id", "n", "frame_idx", "hash")
-    a = own.select("n", "frame_idx", "hash", F.col("episode_id").alias("ep1"))
-    b = own.select("n", "frame_idx", "hash", F.col("episode_id").alias("ep2"))
-    same = a.join(b.hint("merge"), ["n", "frame_idx", "hash"]).filter("ep1 < ep2").groupBy("ep1", "ep2", "n").agg(F.count("*").alias("equal"))
+    keys = ["n", "frame_idx", "hash", *series_of(sampled)]
+    own = sampled.select("episode_id", *keys)
+    a = own.select(*keys, F.col("episode_id").alias("ep1"))
+    b = own.select(*keys, F.col("episode_id").alias("ep2"))
+    same = a.join(b.hint("merge"), keys).filter("ep1 < ep2").groupBy("ep1", "ep2", "n").agg(F.count("*").alias("equal"))
     asked = F.when(F.col("n") <= 30, F.col("n")).otherwise(F.lit(30))
     return same.withColumn("share", F.col("equal") / asked).filter(F.col("share") >= ratio).select("ep1", "ep2", "n", "share")
 
 
+def duplicate_links(sampled: DataFrame, ratio: float = 0.95) -> DataFrame:
+    """(a, b) links whose components are those of JN-12's pairs.
+
+    Sequences with the same samples are a class: its members are linked with the smallest one,
+    and only these meet in the join, so m copies give m links and not m * m pairs.
+    """
+    whole = F.array_sort(F.collect_list(F.struct("frame_idx", "hash")))
+    per = sampled.groupBy("episode_id", "n", *series_of(sampled)).agg(F.md5(whole.cast("string").cast("binary")).alias("digest"))
+    classes = materialize(per.groupBy("n", "digest", *series_of(sampled)).agg(F.min("episode_id").alias("low")), "classes")
+    members = per.join(classes.hint("merge"), ["n", "digest", *series_of(sampled)]).filter("low < episode_id").select(F.col("low").alias("a"), F.col("episode_id").alias("b"))
+    firsts = sampled.join(classes.select(F.col("low").alias("episode_id")).hint("merge"), "episode_id", "left_semi")
+    return members.unionByName(full_duplicates(firsts, firsts, ratio).select(F.col("ep1").alias("a"), F.col("ep2").alias("b")))
+
+
 def opening_matches(frames: DataFrame, radius: int, most: int = 160, least: int = 5) -> DataFrame:
-    """JN-13: sequences whose first frames all lie within ``radius`` bits of the first sequence's."""
-    sizes = frames.groupBy("episode_id").agg(F.count("*").alias("n"))
-    low = sizes.agg(F.min("n")).first()[0]
-    if low is None or low < least:
-        low = 0
-    head = frames.filter(F.col("frame_idx") < min(most, low))
-    first = frames.agg(F.min("episode_id")).first()[0]
-    # The first sequence's head has at most ``most`` rows.
-    ref = head.filter(F.col("episode_id") == F.lit(first)).select("frame_idx", F.col("hash").alias("ref"))
-    joined = head.join(F.broadcast(ref), "frame_idx").groupBy("episode_id").agg(F.max(hamming(F.col("hash"), F.col("ref"))).alias("worst"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("n_frames"))
+    """JN-13: sequences whose first frames all lie within ``radius`` bits of the first sequence's (of the series)."""
+    if not series_of(frames):
+        return opening_matches(frames.withColumn("series", F.lit(0)), radius, most, least).drop("series")
+    sizes = frames.groupBy("series", "episode_id").agg(F.count("*").alias("n"))
+    low = F.when(F.min("n") < least, 0).otherwise(F.least(F.min("n"), F.lit(most)))
+    # Tables of their own, so that a hot series can be split.
+    firsts = materialize(sizes.groupBy("series").agg(low.alias("low"), F.min("episode_id").alias("first")), "firsts")
+    head = frames.filter(F.col("frame_idx") < most).select("series", "episode_id", "frame_idx", "ts", "hash").join(firsts.hint("merge"), "series").filter("frame_idx < low")
+    ref = materialize(head.filter("episode_id = first").select("series", "frame_idx", F.col("hash").alias("ref")), "ref")
+    joined = head.join(ref.hint("merge"), ["series", "frame_idx"]).groupBy("series", "episode_id").agg(F.max(hamming(F.col("hash"), F.col("ref"))).alias("worst"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("n_frames"))
     return joined.filter(F.col("worst") <= radius)
 
 
-def window_grid_join(frames: DataFrame, width: int, score: Callable[[Column, Column], Column]) -> DataFrame:
-    """JN-11: tumbling windows of all pairs of sequences, scored frame by frame and averaged; the last window is left out unless frames remain behind it."""
+def window_grid_join(frames: DataFrame, width: int, score: Callable[[Column, Column], Column], block_rows: int = 2048) -> DataFrame:
+    """JN-11: tumbling windows of all pairs of sequences (of a series), scored frame by frame and averaged; the last window is left out unless frames remain behind it.
+
+    A window is one row, and windows are dealt into blocks, so the join's keys are as many as the table is large.
+    """
     n = F.count("*").over(Window.partitionBy("episode_id"))
-    rows = frames.withColumn("n", n).withColumns({"w": F.floor(F.col("frame_idx") / width).cast("int"), "k": F.col("frame_idx") % width}).filter(F.col("w") * width < F.col("n") - width)
-    side = lambda i: rows.select("k", F.col("episode_id").alias(f"ep{i}"), F.col("w").alias(f"w{i}"), F.col("hash").alias(f"h{i}"), F.col("ts").alias(f"t{i}"))
-    pairs = side(1).join(side(2), "k").filter("ep1 < ep2").withColumn("s", score(F.col("h1"), F.col("h2")))
-    return pairs.groupBy("ep1", "ep2", "w1", "w2").agg(F.avg("s").alias("score"), F.min("t1").alias("start1"), F.max("t1").alias("end1"), F.min("t2").alias("start2"), F.max("t2").alias("end2"), F.count("*").alias("k"))
+    rows = frames.withColumn("n", n).withColumn("w", F.floor(F.col("frame_idx") / width).cast("int")).filter(F.col("w") * width < F.col("n") - width)
+    packed = rows.groupBy("episode_id", "w", *series_of(frames)).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "hash"))).alias("f"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    packed = packed.select("episode_id", "w", F.col("f.hash").alias("h"), "start", "end", *series_of(frames))
+    side = lambda i: packed.withColumnsRenamed({"episode_id": f"ep{i}", "w": f"w{i}", "h": f"h{i}", "start": f"start{i}", "end": f"end{i}"})
+    pairs = dealt_pairs(side(1), side(2), F.col("ep1") < F.col("ep2"), block_rows)
+    mean = F.aggregate(F.zip_with("h1", "h2", score), F.lit(0.0), lambda s, x: s + x) / F.size("h1")
+    return pairs.select("ep1", "ep2", "w1", "w2", mean.alias("score"), "start1", "end1", "start2", "end2", F.size("h1").alias("k"), *series_of(frames))
 
 
 def agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> dict[str, DataFrame]:

@@ -12,12 +12,17 @@ def _order(key: str = "episode_id") -> Window:
     return Window.partitionBy(key).orderBy("frame_idx")
 
 
+def series_of(df: DataFrame) -> list[str]:
+    """``["series"]`` where a table has that column: the series a sequence belongs to, outside of which it meets no other."""
+    return [c for c in df.columns if c == "series"]
+
+
 def rolling_hash(frames: DataFrame, width: int) -> DataFrame:
-    """WIN-1: a row per full window of ``width`` frames (seq_hashes): hash, episode_id, frame_idx of its end, start_time, end_time."""
+    """WIN-1: a row per full window of ``width`` frames (seq_hashes): hash, episode_id, frame_idx of its end, start_time, end_time, and the series if there is one."""
     window = _order()
     values = F.collect_list("hash").over(window.rowsBetween(1 - width, 0))
-    rows = frames.select("episode_id", "frame_idx", F.lag("ts", width - 1).over(window).alias("start_time"), F.col("ts").alias("end_time"), values.alias("w"))
-    return rows.filter(F.size("w") == width).select(window_hash(F.col("w")).alias("hash"), "episode_id", "frame_idx", "start_time", "end_time")
+    rows = frames.select("episode_id", "frame_idx", F.lag("ts", width - 1).over(window).alias("start_time"), F.col("ts").alias("end_time"), values.alias("w"), *series_of(frames))
+    return rows.filter(F.size("w") == width).select(window_hash(F.col("w")).alias("hash"), "episode_id", "frame_idx", "start_time", "end_time", *series_of(frames))
 
 
 def with_opening_window(frames: DataFrame, width: int, opening: int = 3) -> DataFrame:
@@ -40,8 +45,8 @@ def vector_windows(frames: DataFrame, value: str, width: int, stride: int) -> Da
     inside = Window.partitionBy("episode_id", *(["region"] if "region" in frames.columns else []))
     order = inside.orderBy("frame_idx")
     ahead, n = order.rowsBetween(0, width - 1), F.count("*").over(inside)
-    kept = [c for c in ("region", "whole") if c in frames.columns]
-    pos = F.row_number().over(order) - 1 if kept else F.col("frame_idx")
+    kept = [c for c in ("region", "whole", "series") if c in frames.columns]
+    pos = F.row_number().over(order) - 1 if "region" in kept else F.col("frame_idx")
     rows = frames.select("episode_id", pos.alias("pos"), F.col("ts").alias("start_time"), F.last("ts").over(ahead).alias("end_time"), F.collect_list(value).over(ahead).alias("values"), n.alias("n"), *kept)
     return rows.filter((F.col("pos") % stride == 0) & (F.col("pos") < F.col("n") - width)).drop("n")
 

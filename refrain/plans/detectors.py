@@ -1,9 +1,13 @@
-"""Detectors: plans over frames, vectors or samples of one series of sequences.
+"""Detectors: plans over frames, vectors or samples of series of sequences.
 
 Video detectors take ``frames`` (episode_id, frame_idx, ts, hash), audio detectors the
-feature tables of :mod:`refrain.functions.dsp`; ``episodes`` is (episode_id, name). Each
-returns ``segments`` rows (with a ``series`` column). Joins, windows and counts are
-distributed; what a fold gets are the matches or groups that are left of one series.
+feature tables of :mod:`refrain.functions.dsp`; ``episodes`` is (episode_id, name) and, where a
+table holds several series, ``series``. Sequences meet those of their own series only, and
+each series has its own segments, fallbacks included; without the column, and for sequences
+that ``episodes`` doesn't have, the series is 0. Sequence ids are unique over all series.
+What a detector derives from its input beside that (window width, adaptive threshold) is the
+whole table's. Each returns ``segments`` rows with a ``series`` column. Joins, windows and
+counts are distributed; what a fold gets are the matches or groups left of one series.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig, window_size
@@ -21,21 +25,51 @@ from ..functions.similarity import adaptive_threshold, confidence, cosine, energ
 from ..operators import folds, intervals, joins, windows
 from ..operators.components import components
 from ..operators.folds import Match, Segment
+from ..operators.windows import series_of
+from ..storage import materialize
 
 #: Whole sequences that a task compares with as many others.
 SEQUENCES = 32
-SEGMENTS = f"series int, {folds.SEGMENT_SCHEMA}"
+SEGMENTS = f"series long, {folds.SEGMENT_SCHEMA}"
+
+
+def _series(table: DataFrame) -> Column:
+    return F.coalesce(F.col("series").cast("long"), F.lit(0).cast("long")) if series_of(table) else F.lit(0).cast("long")
 
 
 def _names(episodes: DataFrame) -> DataFrame:
-    return episodes.select(F.col("episode_id").cast("long").alias("ep"), F.coalesce("name", F.lit("unknown")).alias("name"))
+    return episodes.select(F.col("episode_id").cast("long").alias("ep"), F.coalesce("name", F.lit("unknown")).alias("name"), _series(episodes).alias("series"))
+
+
+def in_series(rows: DataFrame, episodes: DataFrame) -> DataFrame:
+    """``rows`` of sequences with their series, as ``episodes`` has it."""
+    rows = rows.drop("series")
+    if not series_of(episodes):
+        return rows.withColumn("series", F.lit(0).cast("long"))
+    known = _names(episodes).select(F.col("ep").alias("episode_id"), "series")
+    return rows.join(known.hint("merge"), "episode_id", "left").withColumn("series", F.coalesce("series", F.lit(0).cast("long")))
+
+
+def _or_else(found: DataFrame, frames: DataFrame, fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found``, and what ``fallback`` finds in series without any. Written, since it is read twice."""
+    found = materialize(found, "found")
+    done = found.select("series").distinct()
+    if done.isEmpty():
+        return fallback(frames)
+    rest = materialize(frames.join(done.hint("merge"), "series", "left_anti"), "rest")
+    return found if rest.isEmpty() else found.unionByName(fallback(rest))
+
+
+def _ordered(segments: DataFrame) -> DataFrame:
+    """SRT-1: by confidence, then start, in each series."""
+    return segments.orderBy("series", F.desc("confidence"), "start_time")
 
 
 def _rows(df: DataFrame, kind: str, start: str, end: str, names: str, value: str) -> DataFrame:
     """``segments`` rows from columns of ``df``."""
     sides = {"video": value if kind != "audio" else None, "audio": value if kind != "video" else None}
     return df.select(
-        F.lit(0).alias("series"),
+        _series(df).alias("series"),
         F.col(start).cast("double").alias("start_time"),
         F.col(end).cast("double").alias("end_time"),
         F.col(names).alias("episode_list"),
@@ -47,9 +81,9 @@ def _rows(df: DataFrame, kind: str, start: str, end: str, names: str, value: str
 
 
 def hash_groups(hashes: DataFrame, threshold: int, key: str = "hash", min_duration: float = 0.0) -> DataFrame:
-    """AGG-1, AGG-2, FLT-1: groups of equal keys in at least ``threshold`` rows and distinct sequences, with S-21's confidence."""
+    """AGG-1, AGG-2, FLT-1: groups of equal keys (in a series) in at least ``threshold`` rows and distinct sequences, with S-21's confidence."""
     d = F.col("end_time") - F.col("start_time")
-    out = hashes.groupBy(key).agg(
+    out = hashes.groupBy(key, *series_of(hashes)).agg(
         F.count("*").alias("n"),
         F.avg("start_time").alias("start_time"),
         F.avg(d).alias("duration"),
@@ -67,7 +101,7 @@ def similarity_groups(hashes: DataFrame, threshold: int, key: str, min_duration:
     """
     n = F.col("n").cast("double")
     ones = [F.sum(F.shiftrightunsigned("hash", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    out = hashes.groupBy(key).agg(
+    out = hashes.groupBy(key, *series_of(hashes)).agg(
         F.count("hash").alias("n"),
         F.countDistinct("episode_id").alias("n_episodes"),
         F.min("start_time").alias("start_time"),
@@ -82,62 +116,68 @@ def similarity_groups(hashes: DataFrame, threshold: int, key: str, min_duration:
 
 def _named(groups: DataFrame, episodes: DataFrame) -> DataFrame:
     """Episode ids of groups as sorted names (JN-20)."""
-    keyed = groups.withColumn("gid", F.monotonically_increasing_id())
-    names = keyed.select("gid", F.explode("episodes").alias("ep")).join(_names(episodes), "ep", "left").groupBy("gid").agg(F.array_sort(F.collect_set(F.coalesce("name", F.lit("unknown")))).alias("names"))
-    return keyed.join(names, "gid").drop("gid")
+    # One pass over the numbered groups: a second one might number them otherwise.
+    each = groups.withColumn("gid", F.monotonically_increasing_id()).withColumn("ep", F.explode("episodes"))
+    named = each.join(_names(episodes).select("ep", "name"), "ep", "left").withColumn("name", F.coalesce("name", F.lit("unknown")))
+    return named.groupBy("gid").agg(*[F.first(c).alias(c) for c in groups.columns], F.array_sort(F.collect_set("name")).alias("names")).drop("gid")
 
 
-def full_duplicates(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """DET-V0: clusters of sequences of equal length that are the same nearly throughout."""
-    from ..storage import materialize
+def _spans(groups: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """FLT-1 over whole clusters, whose confidence is 1."""
+    return groups.filter((F.size("episodes") >= cfg.threshold) & (F.col("end_time") - F.col("start_time") >= cfg.min_duration)).withColumn("one", F.lit(1.0))
+
 
-    sampled = windows.identity_sample(frames)
-    found = components(joins.full_duplicates(frames, sampled).select(F.col("ep1").alias("a"), F.col("ep2").alias("b")))
-    # A numbering is fixed before it is joined twice.
-    spans = frames.groupBy("episode_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
-    rows = materialize(found.join(spans, found.node == spans.episode_id), "dupes")
-    groups = rows.groupBy("component").agg(F.min_by("start_time", "node").alias("start_time"), F.min_by("end_time", "node").alias("end_time"), F.collect_set("node").alias("episodes"))
-    groups = groups.filter((F.size("episodes") >= cfg.threshold) & (F.col("end_time") - F.col("start_time") >= cfg.min_duration)).withColumn("one", F.lit(1.0))
-    return _rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "one").orderBy("start_time", F.size("episode_list"))
+def full_duplicates(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """DET-V0, SRT-3: clusters of sequences of equal length that are the same nearly throughout."""
+    frames = in_series(frames, episodes)
+    found = components(joins.duplicate_links(windows.identity_sample(frames)))
+    spans = frames.groupBy("series", "episode_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    rows = found.join(spans, found.node == spans.episode_id)
+    groups = rows.groupBy("series", "component").agg(F.min_by("start_time", "node").alias("start_time"), F.min_by("end_time", "node").alias("end_time"), F.collect_set("node").alias("episodes"))
+    return _rows(_named(_spans(groups, cfg), episodes), "video", "start_time", "end_time", "names", "one").orderBy("series", "start_time", F.size("episode_list"))
 
 
 def opening(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-V1: sequences that open like the first one."""
-    groups = joins.opening_matches(frames, cfg.max_distance).groupBy().agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.collect_set("episode_id").alias("episodes"))
-    groups = groups.filter((F.size("episodes") >= cfg.threshold) & (F.col("end_time") - F.col("start_time") >= cfg.min_duration)).withColumn("one", F.lit(1.0))
-    return _rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "one")
+    found = joins.opening_matches(in_series(frames, episodes), cfg.max_distance)
+    groups = found.groupBy("series").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.collect_set("episode_id").alias("episodes"))
+    return _rows(_named(_spans(groups, cfg), episodes), "video", "start_time", "end_time", "names", "one")
 
 
 def _finish(segments: DataFrame, *steps: Callable[[list[Segment]], list[Segment]]) -> DataFrame:
-    """Folds one after the other, then SRT-1: by confidence, then start."""
+    """Folds one after the other over each series."""
 
     def run(found: list[Segment]) -> list[Segment]:
         for step in steps:
             found = step(found)
         return found
 
-    return folds.fold_segments(segments, run).orderBy(F.desc("confidence"), "start_time")
+    return folds.fold_segments(segments, run)
 
 
 def _least_frames(frames: DataFrame) -> int:
     return frames.groupBy("episode_id").count().agg(F.min("count")).first()[0] or 0
 
 
-def current(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """DET-V2: full duplicates, else groups of similar windows, else time-shifted regions."""
-    whole = full_duplicates(frames, episodes, cfg)
-    if not whole.isEmpty():
-        return whole
+def similar_windows(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """DET-V2's groups of equal or similar windows (AGG-1, AGG-2), merged."""
     width = cfg.window_frames or window_size(_least_frames(frames), cfg.min_duration)
-    hashes = windows.with_opening_window(frames, width)
+    hashes = windows.with_opening_window(in_series(frames, episodes), width)
     if cfg.max_distance:
         numbered = hashes.withColumn("id", F.xxhash64("episode_id", "frame_idx", "start_time"))
-        leaders = joins.leader_clusters(numbered.select("id", "hash"), cfg.max_distance).select("id", "leader")
+        leaders = joins.leader_clusters(numbered.select("id", "hash", "series"), cfg.max_distance).select("id", "leader")
         groups = hash_groups(numbered.join(leaders, "id"), cfg.threshold, "leader", cfg.min_duration)
     else:
         groups = hash_groups(hashes, cfg.threshold, "hash", cfg.min_duration)
-    found = _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments)
-    return time_shifted(frames, episodes, cfg) if found.isEmpty() else found
+    return _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments)
+
+
+def current(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """DET-V2: full duplicates, else groups of similar windows, else time-shifted regions."""
+    own = in_series(frames, episodes)
+    by_time = lambda rest: time_shifted(rest, episodes, cfg)
+    by_window = lambda rest: _or_else(similar_windows(rest, episodes, cfg), rest, by_time)
+    return _ordered(_or_else(full_duplicates(own, episodes, cfg), own, by_window))
 
 
 def shift_matches(h1: np.ndarray, t1: np.ndarray, h2: np.ndarray, t2: np.ndarray, min_duration: float) -> list[tuple[int, int, float]]:
@@ -180,11 +220,29 @@ def shift_matches(h1: np.ndarray, t1: np.ndarray, h2: np.ndarray, t2: np.ndarray
     return [(a, b, bits, chunk) for a, b, bits in out]
 
 
+def region_groups(regions: DataFrame, threshold: int, strict: bool = True, finish: Callable[[list[Segment]], list[Segment]] | None = None) -> DataFrame:
+    """JN-14: ``segments`` rows from regions (series, episode_id, name, start_time, end_time, confidence) of each series, by start; then ``finish``."""
+
+    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        name = dict(zip(rows["episode_id"], rows["name"], strict=True))
+        out = []
+        for g in folds.overlap_groups(list(zip(rows["episode_id"], rows["start_time"], rows["end_time"], rows["confidence"], strict=True)), threshold, strict):
+            timings = [(name[e], s, t) for e, s, t, _ in g]
+            value = float(np.mean([c for *_, c in g]))
+            shifted = any(abs(t[1] - timings[0][1]) > 2.0 for t in timings)
+            out.append(Segment(min(t[1] for t in timings), max(t[2] for t in timings), [t[0] for t in timings], value, timings if shifted else None, value))
+        out.sort(key=lambda s: (s.start, s.end))
+        frame = folds.from_segments(finish(out) if finish else out)
+        frame.insert(0, "series", key[0])
+        return frame
+
+    return regions.groupBy("series").applyInPandas(group, SEGMENTS)
+
+
 def time_shifted(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-V5: JN-10 per pair, regions per sequence (INT-1, FLT-6), JN-14's groups, INT-9."""
-    packed = frames.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "ts", "hash"))).alias("f"))
-    a = packed.select(F.col("episode_id").alias("ep1"), F.col("f").alias("f1"))
-    b = packed.select(F.col("episode_id").alias("ep2"), F.col("f").alias("f2"))
+    packed = in_series(frames, episodes).groupBy("episode_id", "series").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "ts", "hash"))).alias("f"))
+    a, b = (packed.select(F.col("episode_id").alias(f"ep{i}"), F.col("f").alias(f"f{i}"), "series") for i in (1, 2))
     pairs = joins.dealt_pairs(a, b, F.col("ep1") < F.col("ep2"), SEQUENCES)
     min_duration = cfg.min_duration
 
@@ -201,43 +259,40 @@ def time_shifted(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> D
 
     regions = pairs.mapInPandas(match, "episode_id long, start_time double, end_time double, confidence double")
     merged = intervals.trim_openings_and_endings(intervals.merge_islands(regions, 5.0))
-    named = merged.join(_names(episodes), F.col("episode_id") == F.col("ep"), "left").select(F.lit(0).alias("series"), "episode_id", F.coalesce("name", F.lit("unknown")).alias("name"), "start_time", "end_time", "confidence")
-    threshold, strict = cfg.threshold, cfg.strict
+    named = merged.join(_names(episodes), F.col("episode_id") == F.col("ep"), "left")
+    named = named.select(F.coalesce("series", F.lit(0).cast("long")).alias("series"), "episode_id", F.coalesce("name", F.lit("unknown")).alias("name"), "start_time", "end_time", "confidence")
+    ends = lambda out: folds.merge_segments(out[:1] + out[-1:] if len(out) > 2 else out)
+    return _ordered(region_groups(named, cfg.threshold, cfg.strict, ends))
 
-    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        name = dict(zip(rows["episode_id"], rows["name"], strict=True))
-        out = []
-        for g in folds.overlap_groups(list(zip(rows["episode_id"], rows["start_time"], rows["end_time"], rows["confidence"], strict=True)), threshold, strict):
-            timings = [(name[e], s, t) for e, s, t, _ in g]
-            value = float(np.mean([c for *_, c in g]))
-            shifted = any(abs(t[1] - timings[0][1]) > 2.0 for t in timings)
-            out.append(Segment(min(t[1] for t in timings), max(t[2] for t in timings), [t[0] for t in timings], value, timings if shifted else None, value))
-        out.sort(key=lambda s: (s.start, s.end))
-        frame = folds.from_segments(folds.merge_segments(out[:1] + out[-1:] if len(out) > 2 else out))
-        frame.insert(0, "series", key[0])
-        return frame
 
-    return named.groupBy("series").applyInPandas(group, SEGMENTS).orderBy(F.desc("confidence"), "start_time")
+def similar_hashes(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """DET-V3's groups: a window joins the first group whose first member, by sequence and place, is similar enough (AGG-3)."""
+    stats = windows.lag_statistics(frames)
+    threshold = stats.agg(F.avg(adaptive_threshold(cfg.similarity_threshold, F.col("complexity"), F.col("motion"), F.col("color_variance")))).first()[0]
+    threshold = cfg.similarity_threshold if threshold is None else threshold
+    width = cfg.window_frames or max(int(cfg.min_duration), 10)
+    # An id that sorts by sequence and place; both are below 2^31.
+    place = F.shiftleft(F.col("episode_id").cast("long"), 32).bitwiseOR(F.col("frame_idx").cast("long"))
+    hashes = windows.rolling_hash(in_series(frames, episodes), width).withColumn("id", place)
+    leaders = joins.leader_clusters(hashes.select("id", "hash", "series"), int(64 * (1 - threshold)), first_fit=True).select("id", "leader")
+    groups = similarity_groups(hashes.join(leaders, "id"), cfg.threshold, "leader", cfg.min_duration)
+    return _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments)
+
+
+def _after_whole_matches(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig, detector: Callable[[DataFrame, DataFrame, DetectConfig], DataFrame]) -> DataFrame:
+    """Full duplicates, else openings, else what ``detector`` finds."""
+    own = in_series(frames, episodes)
+    by_opening = lambda rest: _or_else(opening(rest, episodes, cfg), rest, lambda left: detector(left, episodes, cfg))
+    return _ordered(_or_else(full_duplicates(own, episodes, cfg), own, by_opening))
 
 
 def multi_hash(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """DET-V3: duplicates, opening, else windows grouped with the first group whose first member is similar enough (AGG-3).
+    """DET-V3: duplicates, opening, else :func:`similar_hashes`.
 
     The detector's four hashes are one word rotated and inverted in places, which keeps
     Hamming distances, so its weighted similarity is the word's own (S-24).
     """
-    for short in (full_duplicates, opening):
-        found = short(frames, episodes, cfg)
-        if not found.isEmpty():
-            return found
-    stats = windows.lag_statistics(frames)
-    threshold = stats.agg(F.avg(adaptive_threshold(cfg.similarity_threshold, F.col("complexity"), F.col("motion"), F.col("color_variance")))).first()[0]
-    threshold = cfg.similarity_threshold if threshold is None else threshold
-    width = cfg.window_frames or max(int(cfg.min_duration), 10)
-    hashes = windows.rolling_hash(frames, width).withColumn("id", F.xxhash64("episode_id", "frame_idx"))
-    leaders = joins.leader_clusters(hashes.select("id", "hash"), int(64 * (1 - threshold))).select("id", "leader")
-    groups = similarity_groups(hashes.join(leaders, "id"), cfg.threshold, "leader", cfg.min_duration)
-    return _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments)
+    return _after_whole_matches(frames, episodes, cfg, similar_hashes)
 
 
 def ssim_score(a, b):
@@ -246,21 +301,23 @@ def ssim_score(a, b):
     return 0.6 * cosine(synthetic_signature(a), synthetic_signature(b)) + 0.4 * keypoint_match(n1, n2)
 
 
-def ssim(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """DET-V4: duplicates, opening, else tumbling windows of pairs scored by signature (JN-11)."""
-    for short in (full_duplicates, opening):
-        found = short(frames, episodes, cfg)
-        if not found.isEmpty():
-            return found
+def similar_grids(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """DET-V4's tumbling windows of pairs, scored by signature (JN-11)."""
     width = cfg.window_frames or max(int(cfg.min_duration), 10)
-    pairs = joins.window_grid_join(frames, width, ssim_score).filter(F.col("score") >= cfg.similarity_threshold)
-    groups = pairs.select(F.col("start1").alias("start_time"), F.col("end1").alias("end_time"), F.array("ep1", "ep2").alias("episodes"), "score")
+    pairs = joins.window_grid_join(in_series(frames, episodes), width, ssim_score).filter(F.col("score") >= cfg.similarity_threshold)
     if cfg.strict:  # one group per window of the first sequence, with every sequence that matches it
-        groups = pairs.groupBy("ep1", "w1").agg(F.min("start1").alias("start_time"), F.max("end1").alias("end_time"), F.array_union(F.array(F.first("ep1")), F.array_sort(F.collect_set("ep2"))).alias("episodes"), F.avg("score").alias("score"))
+        groups = pairs.groupBy("series", "ep1", "w1").agg(F.min("start1").alias("start_time"), F.max("end1").alias("end_time"), F.array_union(F.array(F.first("ep1")), F.array_sort(F.collect_set("ep2"))).alias("episodes"), F.avg("score").alias("score"))
+    else:
+        groups = pairs.select("series", F.col("start1").alias("start_time"), F.col("end1").alias("end_time"), F.array("ep1", "ep2").alias("episodes"), "score")
     groups = groups.filter((F.size("episodes") >= cfg.threshold) & (F.col("end_time") - F.col("start_time") >= cfg.min_duration))
     return _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "score"), folds.deduplicate, folds.merge_segments)
 
 
+def ssim(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """DET-V4: duplicates, opening, else :func:`similar_grids`."""
+    return _after_whole_matches(frames, episodes, cfg, similar_grids)
+
+
 def both(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-V6: the multi-hash answer; compare it with :func:`ssim`'s by :func:`refrain.plans.evaluate.compare_results`."""
     return multi_hash(frames, episodes, cfg)
@@ -288,12 +345,13 @@ def match_filter(matches: DataFrame, least: float = 0.0, most: float = 240.0, ap
     return matches.filter(keep & (F.abs(d1 - d2) < apart) if apart is not None else keep)
 
 
-def segments_from_matches(matches: DataFrame, episodes: DataFrame, cfg: DetectConfig, kind: str) -> DataFrame:
-    """AGG-4, AGG-6, AGG-8, FLT-2, FLT-5, INT-5 over the matches of a series."""
-    rows = matches.select(F.lit(0).alias("series"), "ep1", "ep2", "start1", "end1", "start2", "end2", "match_count", "score")
+def segments_from_matches(matches: DataFrame, episodes: DataFrame, cfg: DetectConfig, kind: str, merge: bool = True) -> DataFrame:
+    """AGG-4 to AGG-8, FLT-2, FLT-5, and INT-5 if ``merge``, over the matches of each series."""
+    rows = matches.select("ep1", "ep2", "start1", "end1", "start2", "end2", "match_count", "score")
     names = _names(episodes)
     for side in ("1", "2"):
-        rows = rows.join(names.select(F.col("ep").alias(f"ep{side}"), F.col("name").alias(f"name{side}")), f"ep{side}", "left")
+        rows = rows.join(names.select(F.col("ep").alias(f"ep{side}"), F.col("name").alias(f"name{side}"), *(["series"] if side == "1" else [])), f"ep{side}", "left")
+    rows = rows.withColumn("series", F.coalesce("series", F.lit(0).cast("long")))
     threshold, min_duration = cfg.threshold, cfg.min_duration
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -304,7 +362,8 @@ def segments_from_matches(matches: DataFrame, episodes: DataFrame, cfg: DetectCo
             out = [s for s in made if s is not None and s.duration >= min_duration]
         else:
             made = [folds.group_to_segment(g, name, threshold, min_duration, folds.GROUP_CONFIDENCE[kind]) for g in folds.group_matches(found)]
-            out = folds.merge_audio([s for s in made if s is not None and s.duration <= 240.0])
+            out = [s for s in made if s is not None and s.duration <= 240.0]
+            out = folds.merge_audio(out) if merge else out
         frame = folds.from_segments(out)
         frame.insert(0, "series", key[0])
         return frame
@@ -314,7 +373,7 @@ def segments_from_matches(matches: DataFrame, episodes: DataFrame, cfg: DetectCo
 
 def chromaprint(landmarks: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-A1 on (episode_id, ts, hash) landmarks."""
-    regions = joins.landmark_regions(joins.landmark_matches(head_and_tail(landmarks)))
+    regions = joins.landmark_regions(joins.landmark_matches(head_and_tail(in_series(landmarks, episodes))))
     return segments_from_matches(match_filter(regions, 5.0, 240.0, 30.0), episodes, cfg, "chromaprint")
 
 
@@ -331,21 +390,21 @@ def _mean_over(score):
 
 def mfcc(features: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60, stride: int = 15) -> DataFrame:
     """DET-A2 on (episode_id, frame_idx, ts, coefficients, deltas, delta_deltas). Beginnings and endings are compared apart."""
-    rows = end_regions(features.withColumn("value", F.struct("coefficients", "deltas", "delta_deltas")))
+    rows = end_regions(in_series(features, episodes).withColumn("value", F.struct("coefficients", "deltas", "delta_deltas")))
     found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), _mean_over(mfcc_distance), False, lambda s: s < 0.35)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "mfcc")
 
 
 def energy_bands(features: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60, stride: int = 5) -> DataFrame:
     """DET-A4 on (episode_id, frame_idx, ts, bands, rms_energy)."""
-    rows = features.withColumn("value", F.struct("bands", "rms_energy"))
+    rows = in_series(features, episodes).withColumn("value", F.struct("bands", "rms_energy"))
     found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), _mean_over(energy_correlation), True, lambda s: s >= 0.65)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "energy_bands")
 
 
 def spectral_v2(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60) -> DataFrame:
     """DET-A3 on (episode_id, frame_idx, ts, hash) spectral hashes: nearest rolling hash (JN-8)."""
-    rolled = windows.rolling_hash(frames, width).select("episode_id", F.col("frame_idx").alias("pos"), "start_time", "end_time", F.col("hash").alias("values"))
+    rolled = windows.rolling_hash(in_series(frames, episodes), width).select("episode_id", F.col("frame_idx").alias("pos"), "start_time", "end_time", F.col("hash").alias("values"), "series")
     found = joins.nearest_windows(rolled, hamming_similarity, True, lambda s: s >= 0.70)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "spectral_v2")
 
@@ -353,8 +412,8 @@ def spectral_v2(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig, width
 def spectral_hash(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-A5: exact groups of rolling hashes."""
     width = cfg.window_frames or window_size(0, cfg.min_duration, "audio")
-    groups = hash_groups(windows.rolling_hash(frames, width), cfg.threshold, "hash", cfg.min_duration)
-    return _finish(_rows(_named(groups, episodes), "audio", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments)
+    groups = hash_groups(windows.rolling_hash(in_series(frames, episodes), width), cfg.threshold, "hash", cfg.min_duration)
+    return _ordered(_finish(_rows(_named(groups, episodes), "audio", "start_time", "end_time", "names", "confidence"), folds.deduplicate, folds.merge_segments))
 
 
 def correlation_matches(h1: list[int], h2: list[int], chunk: int, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -376,8 +435,8 @@ def correlation_matches(h1: list[int], h2: list[int], chunk: int, least: float =
 def cross_correlation(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-A6: JN-9 per pair, AGG-5, AGG-7."""
     chunk = cfg.window_frames or max(int(cfg.min_duration), 10)
-    packed = frames.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "ts", "hash"))).alias("f"))
-    one, two = (packed.select(F.col("episode_id").alias(f"ep{i}"), F.col("f").alias(f"f{i}")) for i in (1, 2))
+    packed = in_series(frames, episodes).groupBy("episode_id", "series").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "ts", "hash"))).alias("f"))
+    one, two = (packed.select(F.col("episode_id").alias(f"ep{i}"), F.col("f").alias(f"f{i}"), "series") for i in (1, 2))
     pairs = joins.dealt_pairs(one, two, F.col("ep1") < F.col("ep2"), SEQUENCES)
 
     def match(batches):
@@ -411,7 +470,7 @@ def fuse(video: DataFrame | None, audio: DataFrame | None) -> DataFrame:
     both_ = video.withColumn("side", F.lit(0)).unionByName(audio.withColumn("side", F.lit(1)))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sides = [sorted((folds.to_segment(r) for r in group[group["side"] == i].to_dict("records")), key=lambda s: (s.start, s.end, s.episodes)) for i in (0, 1)]
+        sides = [sorted((folds.to_segment(r) for r in group[group["side"] == i].to_dict("records")), key=lambda s: (s.start, s.end, s.episodes, s.confidence)) for i in (0, 1)]
         frame = folds.from_segments(folds.merge_segments(folds.fuse(*sides)))
         frame.insert(0, "series", key[0])
         return frame
