@@ -40,7 +40,9 @@ def evaluate(segments: DataFrame, expected: DataFrame, key: str = "fixture") ->
         wanted = sorted(zip(right["start_time"], right["end_time"], right["min_episodes"], strict=True))
         return pd.DataFrame([(k[0], *score_lists(found, wanted))], columns=[key, *[c.split()[0] for c in METRICS.split(", ")]])
 
-    return segments.groupBy(key).cogroup(expected.groupBy(key)).applyInPandas(run, f"{key} {segments.schema[key].dataType.simpleString()}, {METRICS}")
+    # Columns of their own: both tables may come from one.
+    wanted_rows = expected.select(*[F.col(c).alias(c) for c in (key, "start_time", "end_time", "min_episodes")])
+    return segments.groupBy(key).cogroup(wanted_rows.groupBy(key)).applyInPandas(run, f"{key} {segments.schema[key].dataType.simpleString()}, {METRICS}")
 
 
 def timing_error(detected: DataFrame, expected: DataFrame, key: str) -> DataFrame:

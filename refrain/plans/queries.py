@@ -527,8 +527,7 @@ def detv0(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("start_time", "end_time", F.size("episode_list").alias("n_episodes"), first.alias("first"), "confidence")
 
 
-@query("deta5_spectral_hash")
-def deta5(spark: SparkSession, sf: str) -> DataFrame:
+def _hash_segments(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.spectral_hash(doc_frames(spark, sf), _doc_names(spark, sf), DetectConfig(threshold=3, min_duration=2.0, window_frames=3))
 
 
@@ -691,9 +690,7 @@ def str1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("snk5_json_summary")
 def snk5(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.json_summary(deta5(spark, sf), _status(spark, sf))
+    return reports.json_summary(_hash_segments(spark, sf), _status(spark, sf))
 
 
-@query("snk6_text_summary")
-def snk6(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.text_summary(deta5(spark, sf))
+from . import fold_queries  # noqa: E402, F401  registers its queries

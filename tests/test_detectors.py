@@ -224,3 +224,39 @@ def test_pairs_are_dealt_once(spark):
     two = spark.range(70).selectExpr("id as b", "id % 5 as l")
     got = joins.dealt_pairs(one, two, F.col("a") < F.col("b"), 7).select("a", "b").collect()
     assert sorted(map(tuple, got)) == [(a, b) for a in range(50) for b in range(70) if a < b]
+
+
+def test_series_are_apart(spark):
+    """Two series in one table give what each gives alone, though both hold the same run."""
+    one, names = planted(spark, at=(20, 20, 20))
+    other = one.filter("episode_id < 2").select((F.col("episode_id") + 10).alias("episode_id"), "frame_idx", "ts", "hash")
+    both = one.unionByName(other)
+    known = names.withColumn("series", F.lit(1)).unionByName(names.filter("episode_id < 2").select((F.col("episode_id") + 10).alias("episode_id"), "name", F.lit(2).alias("series")))
+    shown = lambda df: sorted((r.start_time, r.end_time, tuple(r.episode_list)) for r in df.collect())
+    for detector in (detectors.current, detectors.multi_hash, detectors.spectral_hash, detectors.chromaprint):
+        found = detector(both, known, CFG)
+        assert shown(found.filter("series = 1")) == shown(detector(one, names, CFG)) != []
+        assert shown(found.filter("series = 2")) == []  # two sequences, three wanted
+    two = DetectConfig(threshold=2, min_duration=5.0, similarity_threshold=1.0, window_frames=6)
+    found = detectors.current(both, known, two)
+    assert shown(found.filter("series = 2")) == shown(detectors.current(other, names.select((F.col("episode_id") + 10).alias("episode_id"), "name"), two)) != []
+
+
+def test_duplicate_links_join_what_pairs_join(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 40).tolist()
+    near = base[:5] + [7] + base[6:]
+    rows = [(e, i, float(i), h) for e, seq in enumerate([base, base, near, near, base, rng.integers(0, 1 << 60, 40).tolist()]) for i, h in enumerate(seq)]
+    frames = spark.createDataFrame(rows, "episode_id int, frame_idx int, ts double, hash long")
+    sampled = windows.identity_sample(frames)
+    from refrain.operators.components import components
+
+    got = {r.node: r.component for r in components(joins.duplicate_links(sampled)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0} and joins.duplicate_links(sampled).count() == 4
+
+
+def test_first_fit_takes_the_earliest_leader(spark):
+    words = spark.createDataFrame([(0, 0b0000), (1, 0b1111), (2, 0b0111)], "id long, hash long")
+    nearest = {r.id: r.leader for r in joins.leader_clusters(words, 3).collect()}
+    first = {r.id: r.leader for r in joins.leader_clusters(words, 3, first_fit=True).collect()}
+    assert nearest == {0: 0, 1: 1, 2: 1} and first == {0: 0, 1: 1, 2: 0}
