@@ -141,6 +141,8 @@ def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             data, ends = ids[real].astype(kind), np.cumsum(np.bincount(owner, minlength=len(counts)))
             out = [data[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        memo.clear()
+        trim()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 

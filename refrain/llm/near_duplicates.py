@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import columns, discard, materialize, packed, unpacked
+from .common import columns, discard, materialize, packed, trim, unpacked
 from .shingles import band_hashes, set_digest, shingle_sets, signature
 from .tokenization import slices
 
@@ -48,6 +48,8 @@ NO_ID = -(1 << 63)
 PROBES, BASES = 256, 512
 #: Hashes that a block's queries, and its members, have together on average at most.
 PROBE_HASHES, BASE_HASHES = 1 << 20, 1 << 21
+#: Blocks of so many bytes of hashes give their memory back at their end.
+TRIM_BYTES = 4 << 20
 
 
 def bands_for(percent: int, rows: int = 5) -> int:
@@ -105,13 +107,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, and other columns) whose full sets are similar enough."""
     others = [c for c in pairs.columns if c not in ("a", "b")]
 
+    def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            good.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent)))
+        return pa.RecordBatch.from_arrays(batch.columns[2:], names=["a", "b", *others]).filter(pa.array(good, pa.bool_()))
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                good.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent)))
-            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["a", "b", *others]).filter(pa.array(good, pa.bool_()))
+        yield from map(similar, batches)
+        trim()
 
     one = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("s"))
     two = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("t"))
@@ -138,6 +143,12 @@ def _settle(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int)
     blocks = base.unionByName(probe.select(*base.columns)).join(sets.hint("merge"), "rep")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        out = forest(group)
+        if group["hashes"].str.len().sum() >= TRIM_BYTES:
+            trim()
+        return out
+
+    def forest(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         bases = group[~group["probe"]]
         hashes = [np.frombuffer(h, np.uint64) for h in bases["hashes"]]

@@ -279,6 +279,8 @@ def score(docs: DataFrame, chain: Chain, reject: str, text_col: str = "text") ->
         for batch in slices(batches, at):
             p = chain.predict(batch.column(at), memo, names, weights)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(p[:, r] >= chain.thresholds[r])], names=[*kept, *made])
+        memo.clear()
+        trim()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{m}` double" for m in made[:-1]] + ["rejected boolean"])
     return docs.mapInArrow(run, schema)
