@@ -59,7 +59,9 @@ SPLITS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 6: (4, 2), 8: (4, 4), 12: (8, 4), 16:
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 SHORT = 8
 #: Words that a window has to have among an item's rarest places, and places looked up at a time.
-HITS, LOOKUPS = 3, 1 << 17
+HITS, LOOKUPS = 3, 1 << 16
+#: Bytes of coded text searched at a time, and windows judged at a time: they bound what a task holds, not what it finds.
+SEARCH_BYTES, JUDGED = 1 << 18, 2048
 FOUND = "item_id long, lcs_share double, answer_share double"
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+~`^/\\"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -122,7 +124,7 @@ def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 2 << 20):
             parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
             counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = parts.flatten().dictionary_encode()
@@ -329,7 +331,7 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
         return (common / n, share) if share >= ANSWER_SHARE else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 20):
+        for batch in slices(batches, 1, SEARCH_BYTES):
             ids, bounds = _flat(batch.column(1), kind)
             size = np.diff(bounds)
             # Texts are laid out in whole strides, with empty ones behind them, so no window reaches the next text.
@@ -384,8 +386,8 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
                     r, q = np.nonzero(hit)
                     keep = weight[at[r]] >= LEAST_MASS * masses[q]
                     r, q = r[keep], q[keep]
-                    if len(r):
-                        judge(at[r], q)
+                    for j in range(0, len(r), JUDGED):
+                        judge(at[r[j : j + JUDGED]], q[j : j + JUDGED])
                 # The same grid by rare words; all the windows of an item are met in one turn, so their hits are whole.
                 amount = np.cumsum(postings.count[key_word])
                 ends = np.searchsorted(key_item, np.arange(len(own)), "right")
@@ -403,8 +405,8 @@ def _search(coded: DataFrame, bench: Benchmark, idf: np.ndarray, latent: np.ndar
                     w = first[np.repeat(d, n)] + step * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(m0, n))
                     key, times = np.unique(w * len(own) + np.repeat(q, n), return_counts=True)
                     key = key[times >= hits[key % len(own)]]
-                    for at in range(0, len(key), 4096):
-                        judge(key[at : at + 4096] // len(own), key[at : at + 4096] % len(own))
+                    for j in range(0, len(key), JUDGED):
+                        judge(key[j : j + JUDGED] // len(own), key[j : j + JUDGED] % len(own))
                     low = high
                 for item in own:
                     if len(item.words) < SHORT:
