@@ -60,7 +60,9 @@ LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 SHORT = 8
 #: Words that a window has to have among an item's rarest places, and places looked up at a time.
 HITS, LOOKUPS = 3, 1 << 16
-#: Bytes of coded text searched at a time, and windows judged at a time: they bound what a task holds, not what it finds.
+#: What a task holds, not what it finds: bytes of text coded at a time, words remembered meanwhile, bytes of coded text
+#: searched at a time, windows judged at a time.
+CODED_BYTES, MEMO_WORDS = 1 << 20, 50_000
 SEARCH_BYTES, JUDGED = 1 << 18, 2048
 FOUND = "item_id long, lcs_share double, answer_share double"
 MARKS = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+~`^/\\"
@@ -124,7 +126,7 @@ def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, CODED_BYTES):
             parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
             counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = parts.flatten().dictionary_encode()
@@ -134,7 +136,7 @@ def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 if k is None:
                     bare = w.strip(MARKS)
                     k = vocabulary.get(bare, -1) if bare else -2
-                    if len(memo) < 200_000:
+                    if len(memo) < MEMO_WORDS:
                         memo[w] = k
                 table[i] = k
             ids = table[coded.indices.to_numpy(zero_copy_only=False)] if len(table) else np.empty(0, np.int32)
