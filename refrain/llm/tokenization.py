@@ -25,7 +25,7 @@ from .common import trim
 MEMO_WORDS = 600_000
 MEMO_CHARS = 48
 #: Text that is encoded together: the more, the fewer distinct words are looked up.
-ENCODE_BYTES = 10 << 20
+ENCODE_BYTES = 5 << 20
 TAILS = (",", ".")
 #: Texts of the byte-level kind that may not be cut at each space: long runs of white space, runs at the end, other
 #: white space or control characters.
