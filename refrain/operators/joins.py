@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import kernels
 from ..functions.hashing import hamming
 from ..storage import discard, materialize
 from .windows import series_of
 
 BAND_LIMIT = 8
+#: Scores that a task holds at a time.
+SCORES = 1 << 20
 PAIR_SCHEMA = "ep1 long, ep2 long, start1 double, end1 double, start2 double, end2 double, match_count int, score double"
 
 
@@ -107,6 +112,24 @@ def dealt_pairs(one: DataFrame, two: DataFrame, keep: Column, size: int) -> Data
     return a.join(b.hint("merge"), [*within, "bx", "by"]).filter(keep).drop("bx", "by")
 
 
+def _met_blocks(rows: DataFrame, size: int, keys: list[str], within: list[str]) -> DataFrame:
+    """``rows``, once for every block that their own (``block``) meets; ``lo`` and ``hi`` are a pair's blocks, of about ``size`` rows each."""
+    counted = block_counts(rows, size, within).withColumn("block", F.pmod(F.xxhash64(*keys), F.col("nb")).cast("int"))
+    dealt = counted.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("nb") - 1).cast("int"))))
+    return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("nb", "other")
+
+
+def _sides(table: pa.Table) -> list[tuple[pa.Table, pa.Table]]:
+    """The two orders in which a pair of blocks is compared; the pair of a block with itself is one."""
+    block = table.column("block").to_numpy()
+    if block.min() == block.max():
+        own = [(table, table)] if table.column("lo")[0] == table.column("hi")[0] else []
+        return own
+    low = table.filter(pa.array(block == block.min()))
+    high = table.filter(pa.array(block == block.max()))
+    return [(low, high), (high, low)]
+
+
 def hamming_join(words: DataFrame, radius: int, key: str = "id", value: str = "hash", block_rows: int = 8192) -> DataFrame:
     """JN-4, JN-5: (a, b, distance) of rows with a < b whose words are within ``radius`` bits; exact for any radius.
 
@@ -178,19 +201,99 @@ def leader_clusters(rows: DataFrame, radius: int, first_fit: bool = False) -> Da
     return rows.join(best.hint("merge"), "id")
 
 
-def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column], largest: bool, accept: Callable[[Column], Column], block_rows: int = 2048) -> DataFrame:
+def _nearest_in_blocks(kernel, one: pa.Table, two: pa.Table) -> list[dict[str, np.ndarray]]:
+    """For each window of ``one`` the best one of ``two`` of each later sequence, region by region."""
+    columns = ("ep", "pos", "start", "end", "region", "whole")
+    a0, b0 = ({c: t.column(c).to_numpy() for c in columns} for t in (one, two))
+    va, vb = (kernel.load(t.column("v").combine_chunks()) for t in (one, two))
+    keys, out = kernel.keys(vb), []
+    for region in np.intersect1d(a0["region"], b0["region"]):
+        ia = np.flatnonzero(a0["region"] == region)
+        ia = ia[np.argsort(a0["ep"][ia], kind="stable")]
+        ib = np.flatnonzero(b0["region"] == region)
+        # Of equal windows of a sequence only the first one can be the best.
+        ib = ib[np.lexsort((b0["pos"][ib], keys[ib], b0["ep"][ib]))]
+        fresh = np.ones(len(ib), bool)
+        fresh[1:] = (keys[ib][1:] != keys[ib][:-1]) | (b0["ep"][ib][1:] != b0["ep"][ib][:-1])
+        ib = ib[fresh]
+        ib = ib[np.lexsort((b0["pos"][ib], b0["ep"][ib]))]
+        a, b = kernels.take(a0, ia), kernels.take(b0, ib)
+        xa, xb = kernels.take(va, ia), kernels.take(vb, ib)
+        step, at = max(1, SCORES // max(1, len(ib))), 0
+        while at < len(ia):
+            rows = slice(at, at + step)
+            at += step
+            first = int(np.searchsorted(b["ep"], a["ep"][rows][0], side="right"))
+            if first == len(ib):
+                break
+            own, others = kernels.take(xa, rows), kernels.take(xb, slice(first, None))
+            eps = b["ep"][first:]
+            starts = np.flatnonzero(np.concatenate([[True], eps[1:] != eps[:-1]]))
+            lengths = np.diff(np.append(starts, len(eps)))
+            order = kernel.order(own, others)
+            if order.dtype.kind == "f":
+                order[np.isnan(order)] = np.inf
+            least = np.minimum.reduceat(order, starts, axis=1)
+            meets = a["ep"][rows][:, None] < eps[starts][None, :]
+            if region != 0:
+                meets &= ~(a["whole"][rows][:, None] & b["whole"][first:][starts][None, :])
+            near = order <= np.repeat(least + kernel.slack(own, others) if order.dtype.kind == "f" else least, lengths, axis=1)
+            near &= np.repeat(meets, lengths, axis=1)
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            score = np.concatenate([kernel.exact(kernels.take(own, i[k : k + 2048]), kernels.take(others, j[k : k + 2048])) for k in range(0, len(i), 2048)])
+            rank = -score if kernel.largest else score
+            group = np.repeat(np.arange(len(starts)), lengths)[j]
+            # Columns of ``b`` are in order of position inside a sequence.
+            best = np.lexsort((j, rank, group, i))
+            best = best[np.concatenate([[True], (i[best][1:] != i[best][:-1]) | (group[best][1:] != group[best][:-1])])]
+            i, j, score = i[best] + rows.start, j[best] + first, score[best]
+            left, right = kernels.take(a, i), kernels.take(b, j)
+            out.append({"ep1": left["ep"], "ep2": right["ep"], "region1": left["region"], "pos1": left["pos"], "start1": left["start"], "end1": left["end"], "start2": right["start"], "end2": right["end"], "pos2": right["pos"], "score": score})
+    return out
+
+
+def _kernel_windows(windows: DataFrame, kernel, block_rows: int) -> DataFrame:
+    """The best window of each pair of blocks, sequence and window; one row for each pair of blocks that has one."""
+    within = series_of(windows)
+    names = {"ep": "episode_id", "pos": "pos", "start": "start_time", "end": "end_time", "region": "region", "whole": "whole", "v": "values"}
+    rows = windows.filter(F.col("episode_id").isNotNull() & kernel.valid(F.col("values")))
+    rows = rows.select(*[F.col(c).alias(n) for n, c in names.items()], kernel.shape(F.col("values")).alias("shape"), *within)
+    kind = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([StructField(c, kind[c.rstrip("12")]) for c in ("ep1", "ep2", "region1", "pos1", "start1", "end1", "start2", "end2", "pos2")] + [StructField("score", DoubleType())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = [x for one, two in _sides(table) for x in _nearest_in_blocks(kernel, one, two)]
+        types = {c: table.schema.field(c.rstrip("12")).type for c in schema.names[:-1]} | {"score": pa.float64()}
+        return pa.table({c: pa.array(np.concatenate([x[c] for x in found]) if found else [], types[c]) for c in schema.names})
+
+    dealt = _met_blocks(rows, block_rows, ["ep", "region", "pos"], within)
+    return dealt.groupBy(*within, "shape", "lo", "hi").applyInArrow(compare, schema)
+
+
+def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column] | kernels.Words | kernels.MfccDistance | kernels.EnergyCorrelation, largest: bool, accept: Callable[[Column], Column], block_rows: int | None = None) -> DataFrame:
     """JN-6, JN-7, JN-8: for each window (episode_id, pos, start_time, end_time, values) the best one of each later sequence; ties to the earlier position.
 
     Sequences are joined pairwise by design (ep1 < ep2), those of one series where windows have
     the column. Where windows have a ``region`` (and ``whole``: the sequence is in all regions),
     they meet inside it, and two whole sequences only once.
+
+    A kernel for ``score`` compares two blocks of windows at once and leaves the best ones only;
+    with a column expression every pair is a row. Windows without a score have no best one.
     """
     if "region" not in windows.columns:
         windows = windows.withColumns({"region": F.lit(0), "whole": F.lit(True)})
+    if hasattr(score, "order"):
+        # Words are short and quickly compared; longer values are held by the hundred megabytes.
+        pairs = _kernel_windows(windows, score, block_rows or (32768 if isinstance(score, kernels.Words) else 8192))
+        order = -F.col("score") if largest else F.col("score")
+        best = pairs.groupBy("ep1", "ep2", "region1", "pos1").agg(F.min_by(F.struct("start1", "end1", "start2", "end2", "pos2", "score"), F.struct(order, "pos2")).alias("m"))
+        return best.select("ep1", "ep2", "pos1", "m.*").filter(accept(F.col("score")))
     names = {"ep": "episode_id", "pos": "pos", "start": "start_time", "end": "end_time", "v": "values", "region": "region", "whole": "whole"}
     side = lambda i: windows.select(*[F.col(c).alias(f"{n}{i}") for n, c in names.items()], *series_of(windows))
     meet = (F.col("ep1") < F.col("ep2")) & (F.col("region1") == F.col("region2")) & ((F.col("region1") == 0) | ~F.col("whole1") | ~F.col("whole2"))
-    pairs = dealt_pairs(side(1), side(2), meet, block_rows).withColumn("score", score(F.col("v1"), F.col("v2"))).drop("v1", "v2")
+    pairs = dealt_pairs(side(1), side(2), meet, block_rows or 2048).withColumn("score", score(F.col("v1"), F.col("v2"))).drop("v1", "v2")
     order = -F.col("score") if largest else F.col("score")
     best = pairs.groupBy("ep1", "ep2", "region1", "pos1").agg(F.min_by(F.struct("start1", "end1", "start2", "end2", "pos2", "score"), F.struct(order, "pos2")).alias("m"))
     return best.select("ep1", "ep2", "pos1", "m.*").filter(accept(F.col("score")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig
-from ..functions import hashing, similarity, text
+from ..functions import hashing, kernels, similarity, text
 from ..operators import folds, intervals, joins, windows
 from ..operators.components import components
 from ..sinks import reports
@@ -383,7 +383,7 @@ def jn4_leaders(spark: SparkSession, sf: str) -> DataFrame:
 )
 def jn8(spark: SparkSession, sf: str) -> DataFrame:
     rows = emb_frames(spark, sf).select("episode_id", F.col("frame_idx").cast("long").alias("pos"), F.col("ts").alias("start_time"), F.col("ts").alias("end_time"), F.col("hash").alias("values"))
-    found = joins.nearest_windows(rows, hashing.hamming_similarity, True, lambda s: s >= 0.7)
+    found = joins.nearest_windows(rows, kernels.Words(), True, lambda s: s >= 0.7)
     return found.select("ep1", "ep2", "pos1", "pos2", r6("score", "score"))
 
 

@@ -137,3 +137,51 @@ def test_opening_and_duplicates(spark):
     f = frames(spark, {0: shared, 1: shared, 2: rng.integers(0, 1 << 60, 12).tolist()})
     assert [r.episode_id for r in joins.opening_matches(f, 4).orderBy("episode_id").collect()] == [0, 1]
     assert [(r.ep1, r.ep2, r.share) for r in joins.full_duplicates(f, windows.identity_sample(f)).collect()] == [(0, 1, 1.0)]
+
+
+def nearest_rows(spark, value, schema, **more):
+    rng = random.Random(6)
+    pool = [value(rng) for _ in range(40)]
+    rows = [(ep, pos, float(pos), pos + 4.0, region, ep % 3 == 0, ep % 2, rng.choice(pool) if rng.random() < 0.97 else None) for ep in range(9) for region in range(2) for pos in range(rng.randrange(3, 12))]
+    return spark.createDataFrame(rows, f"episode_id int, pos long, start_time double, end_time double, region int, whole boolean, series long, values {schema}")
+
+
+def frames_of(*names):
+    def made(rng):
+        numbers = lambda: [rng.randrange(-3, 4) / 4 for _ in range(5)]
+        return [tuple(numbers() if n != "rms_energy" else float(rng.randrange(4)) for n in names) for _ in range(3)]
+
+    return made, f"array<struct<{', '.join(n + (':double' if n == 'rms_energy' else ':array<double>') for n in names)}>>"
+
+
+def mean_over(score):
+    from pyspark.sql import functions as F
+
+    return lambda a, b: F.aggregate(F.zip_with(a, b, score), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+@pytest.mark.parametrize("kind", ["words", "mfcc", "energy"])
+def test_blocks_find_the_nearest_windows_of_all_pairs(spark, kind):
+    """Copies of windows, sequences in two series and regions, windows without values, and pairs in many blocks."""
+    from refrain.functions import kernels, similarity
+    from refrain.functions.hashing import hamming_similarity
+
+    score, kernel, largest, (value, schema) = {
+        "words": (hamming_similarity, kernels.Words(), True, (lambda rng: rng.getrandbits(12) - 2048, "long")),
+        "mfcc": (mean_over(similarity.mfcc_distance), kernels.MfccDistance(), False, frames_of("coefficients", "deltas", "delta_deltas")),
+        "energy": (mean_over(similarity.energy_correlation), kernels.EnergyCorrelation(), True, frames_of("bands", "rms_energy")),
+    }[kind]
+    rows = nearest_rows(spark, value, schema)
+    shown = lambda df: sorted((r.ep1, r.ep2, r.pos1, r.start1, r.end1, r.start2, r.end2, r.pos2, round(r.score, 9)) for r in df.collect())
+    want = shown(joins.nearest_windows(rows.filter("values is not null"), score, largest, lambda s: s > -9))
+    for size in (7, 10000):
+        assert shown(joins.nearest_windows(rows, kernel, largest, lambda s: s > -9, size)) == want != []
+
+
+def test_pairs_of_windows_are_no_rows(spark):
+    """Ten sequences of 300 words: what is written between steps is in proportion to words, not to pairs."""
+    from refrain.functions import kernels
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(e, p, float(p), float(p), rng.getrandbits(62)) for e in range(10) for p in range(300)], "episode_id int, pos long, start_time double, end_time double, values long")
+    assert joins._kernel_windows(rows.selectExpr("*", "0 as region", "true as whole"), kernels.Words(), 5000).count() == 45 * 300
