@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig, window_size
-from ..functions.hashing import hamming_similarity, synthetic_signature
+from ..functions import kernels
+from ..functions.hashing import synthetic_signature
 from ..functions.similarity import adaptive_threshold, confidence, cosine, energy_correlation, keypoint_match, mfcc_distance
 from ..operators import folds, intervals, joins, windows
 from ..operators.components import components
@@ -405,7 +406,7 @@ def energy_bands(features: DataFrame, episodes: DataFrame, cfg: DetectConfig, wi
 def spectral_v2(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60) -> DataFrame:
     """DET-A3 on (episode_id, frame_idx, ts, hash) spectral hashes: nearest rolling hash (JN-8)."""
     rolled = windows.rolling_hash(in_series(frames, episodes), width).select("episode_id", F.col("frame_idx").alias("pos"), "start_time", "end_time", F.col("hash").alias("values"), "series")
-    found = joins.nearest_windows(rolled, hamming_similarity, True, lambda s: s >= 0.70)
+    found = joins.nearest_windows(rolled, kernels.Words(), True, lambda s: s >= 0.70)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "spectral_v2")
 
 
