@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..config import DetectConfig, window_size
 from ..functions import kernels
 from ..functions.hashing import synthetic_signature
-from ..functions.similarity import adaptive_threshold, confidence, cosine, energy_correlation, keypoint_match, mfcc_distance
+from ..functions.similarity import adaptive_threshold, confidence, cosine, keypoint_match
 from ..operators import folds, intervals, joins, windows
 from ..operators.components import components
 from ..operators.folds import Match, Segment
@@ -382,24 +382,17 @@ def _as_matches(nearest: DataFrame) -> DataFrame:
     return nearest.select(F.col("ep1").cast("long").alias("ep1"), F.col("ep2").cast("long").alias("ep2"), "start1", "end1", "start2", "end2", F.lit(1).alias("match_count"), F.col("score").cast("double").alias("score"))
 
 
-def _mean_over(score):
-    def run(a, b):
-        return F.aggregate(F.zip_with(a, b, score), F.lit(0.0), lambda s, x: s + x) / F.size(a)
-
-    return run
-
-
 def mfcc(features: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60, stride: int = 15) -> DataFrame:
     """DET-A2 on (episode_id, frame_idx, ts, coefficients, deltas, delta_deltas). Beginnings and endings are compared apart."""
     rows = end_regions(in_series(features, episodes).withColumn("value", F.struct("coefficients", "deltas", "delta_deltas")))
-    found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), _mean_over(mfcc_distance), False, lambda s: s < 0.35)
+    found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), kernels.MfccDistance(), False, lambda s: s < 0.35)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "mfcc")
 
 
 def energy_bands(features: DataFrame, episodes: DataFrame, cfg: DetectConfig, width: int = 60, stride: int = 5) -> DataFrame:
     """DET-A4 on (episode_id, frame_idx, ts, bands, rms_energy)."""
     rows = in_series(features, episodes).withColumn("value", F.struct("bands", "rms_energy"))
-    found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), _mean_over(energy_correlation), True, lambda s: s >= 0.65)
+    found = joins.nearest_windows(windows.vector_windows(rows, "value", width, stride), kernels.EnergyCorrelation(), True, lambda s: s >= 0.65)
     return segments_from_matches(match_filter(_as_matches(found)), episodes, cfg, "energy_bands")
 
 
