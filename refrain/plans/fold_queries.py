@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig
-from ..functions import similarity
+from ..functions import kernels, similarity
 from ..functions.hashing import text_hash
 from ..operators import folds, joins, windows
 from ..sinks import reports
@@ -278,7 +278,7 @@ def jn6(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients, half of them as deltas, their sizes as second deltas: weights 1, 0.5 and 0.25."""
     c = F.transform("embedding", lambda x: x.cast("double"))
     value = F.struct(c.alias("coefficients"), F.transform(c, lambda x: x / 2).alias("deltas"), F.transform(c, F.abs).alias("delta_deltas"))
-    found = joins.nearest_windows(_vectors(spark, sf, value), detectors._mean_over(similarity.mfcc_distance), False, lambda s: s >= 0)
+    found = joins.nearest_windows(_vectors(spark, sf, value), kernels.MfccDistance(), False, lambda s: s >= 0)
     return found.select("ep1", "ep2", "pos1", "pos2", r6("score", "score"))
 
 
