@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig
-from ..functions import kernels, similarity
+from ..functions import kernels
 from ..functions.hashing import text_hash
 from ..operators import folds, joins, windows
 from ..sinks import reports
@@ -289,7 +289,7 @@ def jn6(spark: SparkSession, sf: str) -> DataFrame:
 def jn7(spark: SparkSession, sf: str) -> DataFrame:
     c = F.transform("embedding", lambda x: x.cast("double"))
     value = F.struct(c.alias("bands"), F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x).alias("rms_energy"))
-    found = joins.nearest_windows(_vectors(spark, sf, value), detectors._mean_over(similarity.energy_correlation), True, lambda s: s >= -9)
+    found = joins.nearest_windows(_vectors(spark, sf, value), kernels.EnergyCorrelation(), True, lambda s: s >= -9)
     return found.select("ep1", "ep2", "pos1", "pos2", r6("score", "score"))
 
 
