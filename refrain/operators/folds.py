@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Timing = tuple[str, float, float]
 SEGMENT_SCHEMA = "start_time double, end_time double, episode_list array<string>, episode_timings array<struct<episode_name:string,start_time:double,end_time:double>>, confidence double, video_confidence double, audio_confidence double, match_type string"
 
 
-@dataclass
+@dataclass(slots=True)
 class Segment:
     """A common segment (the ``segments`` row)."""
 
@@ -136,10 +138,13 @@ def correlation_segment(group: list[Match], names: dict[int, str], threshold: in
 def merge_segments(segments: list[Segment]) -> list[Segment]:
     """INT-2: overlapping or nearly touching segments become one; timings of one sequence widen only where they meet within five seconds."""
     out: list[Segment] = []
+    names: dict[str, None] | None = None  # of the last segment, while it grows
     for new in sorted(segments, key=lambda s: (s.start, s.end, s.episodes)):
         now = out[-1] if out else None
         allowed = 0.5 if now and now.timings is not None and new.timings is not None else 2.0
         if now is None or not (now.end > new.start or new.start - now.end <= allowed):
+            if names is not None:
+                now.episodes, names = list(names), None
             out.append(replace(new, episodes=list(new.episodes), timings=list(new.timings) if new.timings is not None else None))
             continue
         now.end = max(now.end, new.end)
@@ -149,14 +154,18 @@ def merge_segments(segments: list[Segment]) -> list[Segment]:
             setattr(now, side, max(values) if values else None)
         now.kind = max((now.kind, new.kind), key=KIND_RANK.__getitem__)
         if now.timings is None and new.timings is None:
-            now.episodes = union_list(now.episodes, new.episodes)
+            names = dict.fromkeys(now.episodes) if names is None else names
+            names.update(dict.fromkeys(new.episodes))
             continue
+        names = None  # timings have the names from here on
         held = {name: (s, e) for name, s, e in now.timings or []}
         for name, s, e in new.timings or []:
             a, b = held.get(name, (s, e))
             held[name] = (min(a, s), max(b, e)) if s <= b + 5 and e >= a - 5 else (a, b)
         now.timings = [(name, s, e) for name, (s, e) in held.items()]
         now.episodes = [t[0] for t in now.timings]
+    if names is not None:
+        out[-1].episodes = list(names)
     return out
 
 
@@ -179,18 +188,92 @@ def iou(a: Segment, b: Segment) -> float:
 
 
 def deduplicate(segments: list[Segment]) -> list[Segment]:
-    """INT-4: a segment that overlaps an earlier one by half, in time and by 0.7 in sequences, is taken into it."""
+    """INT-4: a segment that overlaps an earlier one by half, in time and by 0.7 in sequences, is taken into it.
+
+    Of the earlier ones only those are tried that can be the answer: with the same sequence
+    where all have a single one, else those that overlap enough; and, where segments come by
+    start, not those that ended before.
+    """
+    by_start = all(a.start <= b.start for a, b in zip(segments, segments[1:], strict=False))
+    return (_deduplicate_single if all(len(s.episodes) == 1 for s in segments) else _deduplicate_lists)(segments, by_start)
+
+
+def _copy(s: Segment) -> Segment:
+    return Segment(s.start, s.end, list(s.episodes), s.confidence, s.timings, s.video, s.audio, s.kind)
+
+
+def _deduplicate_single(segments: list[Segment], by_start: bool) -> list[Segment]:
     out: list[Segment] = []
+    held: dict[str, list[Segment]] = {}
     for new in segments:
-        for old in out:
-            least = min(len(old.episodes), len(new.episodes))
-            shared = sum(e in new.episodes for e in old.episodes) / least if least else 0.0
-            if iou(old, new) > 0.5 and shared > 0.7:
+        start, end, ended = new.start, new.end, 0
+        olds = held.setdefault(new.episodes[0], [])
+        for old in olds:
+            s, e = old.start, old.end
+            common = (e if e < end else end) - (s if s > start else start)
+            if common > 0:
+                union = (e if e > end else end) - (s if s < start else start)
+                if union > 0 and common / union > 0.5:
+                    old.start, old.end, old.confidence = min(s, start), max(e, end), max(old.confidence, new.confidence)
+                    break
+            elif e <= start:
+                ended += 1
+        else:
+            new = _copy(new)
+            out.append(new)
+            if by_start and ended > 4:
+                olds[:] = [o for o in olds if o.end > start]
+            olds.append(new)
+    return out
+
+
+def _deduplicate_lists(segments: list[Segment], by_start: bool) -> list[Segment]:
+    out: list[Segment] = []
+    number: dict[str, int] = {}
+    for new in segments:
+        for name in new.episodes:
+            number.setdefault(name, len(number))
+    size = len(number) // 8 + 1
+
+    def bits(names: list[str]) -> int:
+        held = bytearray(size)
+        for name in names:
+            k = number[name]
+            held[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(held, "little")
+
+    masks: list[int] = []
+    # Of segments that can still be met: places in ``out``, starts and ends.
+    place, starts, ends, n = np.empty(1024, np.int64), np.empty(1024), np.empty(1024), 0
+    for new in segments:
+        mask, many = bits(new.episodes), len(new.episodes)
+        s, e = starts[:n], ends[:n]
+        common, union = np.minimum(e, new.end) - np.maximum(s, new.start), np.maximum(e, new.end) - np.minimum(s, new.start)
+        with np.errstate(all="ignore"):
+            near = np.flatnonzero((common > 0) & (union > 0) & (common / union > 0.5)).tolist()
+        for k in near:
+            at = int(place[k])
+            old = out[at]
+            least = min(len(old.episodes), many)
+            shared = (masks[at] & mask).bit_count()
+            if shared and masks[at].bit_count() != len(old.episodes):  # a name more than once counts as often
+                shared = sum(x in new.episodes for x in old.episodes)
+            if least and shared / least > 0.7:
                 old.start, old.end = min(old.start, new.start), max(old.end, new.end)
                 old.episodes, old.confidence = union_list(old.episodes, new.episodes), max(old.confidence, new.confidence)
+                masks[at] |= mask
+                starts[k], ends[k] = old.start, old.end
                 break
         else:
-            out.append(replace(new, episodes=list(new.episodes)))
+            if n == len(place):
+                kept = np.flatnonzero(~(ends[:n] <= new.start)) if by_start else np.arange(n)
+                grown = 2 * n if len(kept) > n // 2 else n
+                place, starts, ends = (np.concatenate([x[kept], np.empty(grown - len(kept), x.dtype)]) for x in (place, starts, ends))
+                n = len(kept)
+            place[n], starts[n], ends[n] = len(out), new.start, new.end
+            n += 1
+            out.append(_copy(new))
+            masks.append(mask)
     return out
 
 
@@ -303,13 +386,42 @@ def from_segments(segments: list[Segment]) -> pd.DataFrame:
     return frame.astype({"video_confidence": "float64", "audio_confidence": "float64"})
 
 
+TIMINGS = pa.list_(pa.struct([("episode_name", pa.string()), ("start_time", pa.float64()), ("end_time", pa.float64())]))
+
+
+def read_segments(table: pa.Table) -> list[Segment]:
+    """The rows of a ``segments`` table; an unknown number is NaN, an unknown side None."""
+    number = lambda c: [float("nan") if x is None else float(x) for x in table.column(c).to_pylist()]
+    side = lambda c: [None if x is None or x != x else float(x) for x in table.column(c).to_pylist()]
+    optional = lambda c, read: [None] * table.num_rows if table.column(c).null_count == table.num_rows else read(c)
+    timings = lambda c: [x and [(t["episode_name"], t["start_time"], t["end_time"]) for t in x] for x in table.column(c).to_pylist()]
+    columns = number("start_time"), number("end_time"), table.column("episode_list").to_pylist(), number("confidence"), optional("episode_timings", timings), optional("video_confidence", side), optional("audio_confidence", side), table.column("match_type").to_pylist()
+    return list(map(Segment, *columns))
+
+
+def write_segments(segments: list[Segment]) -> dict[str, pa.Array]:
+    """Columns of a ``segments`` table; NaN becomes null."""
+    of = lambda name: [getattr(s, name) for s in segments]
+    number = lambda name: pa.array(of(name), pa.float64(), from_pandas=True)
+    timings = [s.timings and [{"episode_name": n, "start_time": a, "end_time": b} for n, a, b in s.timings] for s in segments]
+    return {
+        "start_time": number("start"),
+        "end_time": number("end"),
+        "episode_list": pa.array(of("episodes"), pa.list_(pa.string())),
+        "episode_timings": pa.array(timings, TIMINGS),
+        "confidence": number("confidence"),
+        "video_confidence": number("video"),
+        "audio_confidence": number("audio"),
+        "match_type": pa.array(of("kind"), pa.string()),
+    }
+
+
 def fold_segments(segments: DataFrame, fold: Callable[[list[Segment]], list[Segment]], key: str = "series") -> DataFrame:
     """A fold over the segments of each series, in (start, end, names, confidence) order."""
+    order = attrgetter("start", "end", "episodes", "confidence")
 
-    def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = [to_segment(r) for r in group.to_dict("records")]
-        out = from_segments(fold(sorted(rows, key=lambda s: (s.start, s.end, s.episodes, s.confidence))))
-        out.insert(0, key, k[0])
-        return out
+    def run(k: tuple, group: pa.Table) -> pa.Table:
+        out = fold(sorted(read_segments(group), key=order))
+        return pa.table({key: pa.array([k[0].as_py()] * len(out), group.schema.field(key).type), **write_segments(out)})
 
-    return segments.groupBy(key).applyInPandas(run, f"{key} {segments.schema[key].dataType.simpleString()}, {SEGMENT_SCHEMA}")
+    return segments.groupBy(key).applyInArrow(run, f"{key} {segments.schema[key].dataType.simpleString()}, {SEGMENT_SCHEMA}")
