@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashing import synthetic_signature
+
 Block = dict[str, np.ndarray]
 
 
@@ -149,3 +151,38 @@ class EnergyCorrelation(_Frames):
         x, y = a["x"], b["x"]
         norms = np.sqrt((x * x).sum(axis=2)) * np.sqrt((y * y).sum(axis=2))
         return self._score((x * y).sum(axis=2), norms, a["rms"], b["rms"]).sum(axis=1) / x.shape[1]
+
+
+class Signatures:
+    """0.6 of signature similarity and 0.4 of keypoint agreement (S-25, S-17) of arrays of words, as means over frames; sums are in the order of the column expressions."""
+
+    def value(self, words: Column) -> Column:
+        return F.struct(F.flatten(F.transform(words, synthetic_signature)).alias("sig"), F.transform(words, lambda h: F.bit_count(h.bitwiseAND(F.lit(255)))).alias("points"))
+
+    def load(self, values: pa.Array) -> Block:
+        n = len(values)
+        sig = values.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(n, -1, 4)
+        squares = np.zeros(sig.shape[:2])
+        for c in range(4):
+            squares += sig[:, :, c] * sig[:, :, c]
+        return {"sig": sig, "norm": np.sqrt(squares), "points": values.field("points").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)}
+
+    def scores(self, a: Block, b: Block) -> np.ndarray:
+        one, two = np.arange(9.0)[:, None], np.arange(9.0)[None, :]
+        ratio = one / np.maximum(np.maximum(one, two), 1)
+        agreement = 0.4 * np.where((one > 0) & (two > 0) & (ratio >= 0.2), 0.9 * ratio, 0.0)
+        frames = a["norm"].shape[1]
+        out = np.zeros((len(a["norm"]), len(b["norm"])))
+        for f in range(frames):
+            x, y = a["sig"][:, f], b["sig"][:, f]
+            dots = np.zeros_like(out)
+            for c in range(4):
+                dots += x[:, c, None] * y[None, :, c]
+            norms = a["norm"][:, f, None] * b["norm"][None, :, f]
+            if not norms.all():
+                dots[norms == 0], norms[norms == 0] = 0.0, 1.0
+            dots /= norms
+            dots *= 0.6
+            dots += agreement[a["points"][:, f]][:, b["points"][:, f]]
+            out += dots
+        return out / frames

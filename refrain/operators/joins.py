@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import kernels
 from ..functions.hashing import hamming
@@ -342,15 +342,61 @@ def opening_matches(frames: DataFrame, radius: int, most: int = 160, least: int
     return joined.filter(F.col("worst") <= radius)
 
 
+def _tumbling(frames: DataFrame, width: int) -> DataFrame:
+    """Tumbling windows (episode_id, w, h, start, end), one row each."""
+    n = F.count("*").over(Window.partitionBy("episode_id"))
+    rows = frames.withColumn("n", n).withColumn("w", F.floor(F.col("frame_idx") / width).cast("int")).filter(F.col("w") * width < F.col("n") - width)
+    packed = rows.groupBy("episode_id", "w", *series_of(frames)).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "hash"))).alias("f"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return packed.select("episode_id", "w", F.col("f.hash").alias("h"), "start", "end", *series_of(frames))
+
+
+def window_grid_matches(frames: DataFrame, width: int, kernel: kernels.Signatures, least: float, block_rows: int = 4096) -> DataFrame:
+    """JN-11 counted: for each tumbling window (series, ep1, w1, start1, end1) and later sequence ep2 the number ``n`` of windows with a score of ``least`` and more, and their ``total``.
+
+    Blocks of windows are compared at once, so that pairs are no rows; a row stands for a pair of blocks, and those of a window and sequence add up.
+    """
+    within = series_of(frames)
+    words = F.col("h")
+    rows = _tumbling(frames, width).filter(F.col("episode_id").isNotNull() & F.forall(words, lambda x: x.isNotNull()))
+    rows = rows.select(F.col("episode_id").alias("ep"), "w", "start", "end", kernel.value(words).alias("v"), F.size(words).alias("size"), *within)
+    kind = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([StructField(c, kind[c.rstrip("12")]) for c in (*within, "ep1", "w1", "start1", "end1", "ep2")] + [StructField("n", LongType()), StructField("total", DoubleType())])
+
+    def count(one: pa.Table, two: pa.Table) -> list[dict[str, np.ndarray]]:
+        one, two = (t.take(pa.array(np.argsort(t.column("ep").to_numpy(), kind="stable"))) for t in (one, two))
+        a, b = ({c: t.column(c).to_numpy() for c in ("ep", "w", "start", "end", *within)} for t in (one, two))
+        va, vb = (kernel.load(t.column("v").combine_chunks()) for t in (one, two))
+        step, out = max(1, (SCORES >> 3) // len(b["ep"])), []
+        for at in range(0, len(a["ep"]), step):
+            mine = slice(at, at + step)
+            first = int(np.searchsorted(b["ep"], a["ep"][at], side="right"))
+            if first == len(b["ep"]):
+                break
+            eps = b["ep"][first:]
+            starts = np.flatnonzero(np.concatenate([[True], eps[1:] != eps[:-1]]))
+            scores = kernel.scores(kernels.take(va, mine), kernels.take(vb, slice(first, None)))
+            good = scores >= least
+            n = np.add.reduceat(good, starts, axis=1, dtype=np.int64)
+            total = np.add.reduceat(np.where(good, scores, 0.0), starts, axis=1)
+            i, g = np.nonzero((n > 0) & (a["ep"][mine][:, None] < eps[starts][None, :]))
+            left = kernels.take(a, i + at)
+            out.append({**{c: left[c] for c in within}, "ep1": left["ep"], "w1": left["w"], "start1": left["start"], "end1": left["end"], "ep2": eps[starts][g], "n": n[i, g], "total": total[i, g]})
+        return out
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = [x for one, two in _sides(table) for x in count(one, two)]
+        types = {c: table.schema.field(c.rstrip("12")).type for c in schema.names[:-2]} | {"n": pa.int64(), "total": pa.float64()}
+        return pa.table({c: pa.array(np.concatenate([x[c] for x in found]) if found else [], types[c]) for c in schema.names})
+
+    return _met_blocks(rows, block_rows, ["ep", "w"], within).groupBy(*within, "size", "lo", "hi").applyInArrow(compare, schema)
+
+
 def window_grid_join(frames: DataFrame, width: int, score: Callable[[Column, Column], Column], block_rows: int = 2048) -> DataFrame:
     """JN-11: tumbling windows of all pairs of sequences (of a series), scored frame by frame and averaged; the last window is left out unless frames remain behind it.
 
     A window is one row, and windows are dealt into blocks, so the join's keys are as many as the table is large.
     """
-    n = F.count("*").over(Window.partitionBy("episode_id"))
-    rows = frames.withColumn("n", n).withColumn("w", F.floor(F.col("frame_idx") / width).cast("int")).filter(F.col("w") * width < F.col("n") - width)
-    packed = rows.groupBy("episode_id", "w", *series_of(frames)).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "hash"))).alias("f"), F.min("ts").alias("start"), F.max("ts").alias("end"))
-    packed = packed.select("episode_id", "w", F.col("f.hash").alias("h"), "start", "end", *series_of(frames))
+    packed = _tumbling(frames, width)
     side = lambda i: packed.withColumnsRenamed({"episode_id": f"ep{i}", "w": f"w{i}", "h": f"h{i}", "start": f"start{i}", "end": f"end{i}"})
     pairs = dealt_pairs(side(1), side(2), F.col("ep1") < F.col("ep2"), block_rows)
     mean = F.aggregate(F.zip_with("h1", "h2", score), F.lit(0.0), lambda s, x: s + x) / F.size("h1")

@@ -305,10 +305,12 @@ def ssim_score(a, b):
 def similar_grids(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-V4's tumbling windows of pairs, scored by signature (JN-11)."""
     width = cfg.window_frames or max(int(cfg.min_duration), 10)
-    pairs = joins.window_grid_join(in_series(frames, episodes), width, ssim_score).filter(F.col("score") >= cfg.similarity_threshold)
+    own = in_series(frames, episodes)
     if cfg.strict:  # one group per window of the first sequence, with every sequence that matches it
-        groups = pairs.groupBy("series", "ep1", "w1").agg(F.min("start1").alias("start_time"), F.max("end1").alias("end_time"), F.array_union(F.array(F.first("ep1")), F.array_sort(F.collect_set("ep2"))).alias("episodes"), F.avg("score").alias("score"))
+        counted = joins.window_grid_matches(own, width, kernels.Signatures(), cfg.similarity_threshold)
+        groups = counted.groupBy("series", "ep1", "w1").agg(F.min("start1").alias("start_time"), F.max("end1").alias("end_time"), F.array_union(F.array(F.first("ep1")), F.array_sort(F.collect_set("ep2"))).alias("episodes"), (F.sum("total") / F.sum("n")).alias("score"))
     else:
+        pairs = joins.window_grid_join(own, width, ssim_score).filter(F.col("score") >= cfg.similarity_threshold)
         groups = pairs.select("series", F.col("start1").alias("start_time"), F.col("end1").alias("end_time"), F.array("ep1", "ep2").alias("episodes"), "score")
     groups = groups.filter((F.size("episodes") >= cfg.threshold) & (F.col("end_time") - F.col("start_time") >= cfg.min_duration))
     return _finish(_rows(_named(groups, episodes), "video", "start_time", "end_time", "names", "score"), folds.deduplicate, folds.merge_segments)

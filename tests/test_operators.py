@@ -223,3 +223,21 @@ def test_deduplicate_and_merge_are_not_quadratic():
     assert len(folds.deduplicate(found)) > 19000
     folds.merge_segments(found)
     assert time.process_time() - began < 30
+
+
+@pytest.mark.parametrize("block_rows", [5, 10000])
+def test_counted_grids_are_all_pairs(spark, block_rows):
+    from pyspark.sql import functions as F
+
+    from refrain.functions import kernels
+    from refrain.plans.detectors import ssim_score
+
+    rng = random.Random(9)
+    pool = [0, *(rng.getrandbits(64) - (1 << 63) for _ in range(20))]
+    rows = spark.createDataFrame([(e, i, float(i), rng.choice(pool) if rng.random() < 0.98 else None, e % 2) for e in range(8) for i in range(rng.randrange(8, 30))], "episode_id int, frame_idx int, ts double, hash long, series long")
+    pairs = joins.window_grid_join(rows, 3, ssim_score).filter("score >= 0.75")
+    want = pairs.groupBy("series", "ep1", "w1", "start1", "end1", "ep2").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    made = joins.window_grid_matches(rows, 3, kernels.Signatures(), 0.75, block_rows)
+    got = made.groupBy("series", "ep1", "w1", "start1", "end1", "ep2").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    shown = lambda df: sorted((r.series, r.ep1, r.w1, r.start1, r.end1, r.ep2, r.n, round(r.total, 9)) for r in df.collect())
+    assert shown(got) == shown(want) != []
