@@ -286,7 +286,7 @@ def nearest_windows(windows: DataFrame, score: Callable[[Column, Column], Column
         windows = windows.withColumns({"region": F.lit(0), "whole": F.lit(True)})
     if hasattr(score, "order"):
         # Words are short and quickly compared; longer values are held by the hundred megabytes.
-        pairs = _kernel_windows(windows, score, block_rows or (32768 if isinstance(score, kernels.Words) else 8192))
+        pairs = _kernel_windows(windows, score, block_rows or (32768 if isinstance(score, kernels.Words) else 4096))
         order = -F.col("score") if largest else F.col("score")
         best = pairs.groupBy("ep1", "ep2", "region1", "pos1").agg(F.min_by(F.struct("start1", "end1", "start2", "end2", "pos2", "score"), F.struct(order, "pos2")).alias("m"))
         return best.select("ep1", "ep2", "pos1", "m.*").filter(accept(F.col("score")))
