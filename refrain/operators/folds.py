@@ -199,7 +199,8 @@ def deduplicate(segments: list[Segment]) -> list[Segment]:
 
 
 def _copy(s: Segment) -> Segment:
-    return Segment(s.start, s.end, list(s.episodes), s.confidence, s.timings, s.video, s.audio, s.kind)
+    """With the same list of names, which folds replace and don't change."""
+    return Segment(s.start, s.end, s.episodes, s.confidence, s.timings, s.video, s.audio, s.kind)
 
 
 def _deduplicate_single(segments: list[Segment], by_start: bool) -> list[Segment]:
@@ -227,53 +228,69 @@ def _deduplicate_single(segments: list[Segment], by_start: bool) -> list[Segment
     return out
 
 
-def _deduplicate_lists(segments: list[Segment], by_start: bool) -> list[Segment]:
-    out: list[Segment] = []
+def _marks(segments: list[Segment], block: int = 1024) -> np.ndarray:
+    """Bits of each segment: one for every name, or for some names together where there are far more than a segment has."""
     number: dict[str, int] = {}
-    for new in segments:
-        for name in new.episodes:
+    for s in segments:
+        for name in s.episodes:
             number.setdefault(name, len(number))
-    size = len(number) // 8 + 1
-
-    def bits(names: list[str]) -> int:
-        held = bytearray(size)
-        for name in names:
-            k = number[name]
-            held[k >> 3] |= 1 << (k & 7)
-        return int.from_bytes(held, "little")
-
-    masks: list[int] = []
-    # Of segments that can still be met: places in ``out``, starts and ends.
-    place, starts, ends, n = np.empty(1024, np.int64), np.empty(1024), np.empty(1024), 0
-    for new in segments:
-        mask, many = bits(new.episodes), len(new.episodes)
+    mean = max(1, sum(len(s.episodes) for s in segments) // max(1, len(segments)))
+    width = max(1, min(-(-len(number) // 64), mean // 8 + 1))
+    marks = np.zeros((len(segments), width), np.uint64)
+    for lo in range(0, len(segments), block):
+        some = segments[lo : lo + block]
+        at = np.fromiter((number[name] for s in some for name in s.episodes), np.int64) % (64 * width)
+        rows = np.repeat(np.arange(len(some)), [len(s.episodes) for s in some])
+        np.bitwise_or.at(marks[lo : lo + block], (rows, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return marks
+
+
+def _deduplicate_lists(segments: list[Segment], by_start: bool) -> list[Segment]:
+    """Names are compared only where marks leave room: a mark that one side alone has is a name, at least, that isn't shared."""
+    out: list[Segment] = []
+    marks = _marks(segments)
+    # Of segments that can still be met: places in ``out``, starts, ends, names, marks, how many names have no mark of their own, and if none is there twice.
+    place, starts, ends, sizes, spare, once, n = np.empty(1024, np.int64), np.empty(1024), np.empty(1024), np.empty(1024, np.int64), np.empty(1024, np.int64), np.empty(1024, bool), 0
+    held = np.empty((1024, marks.shape[1]), np.uint64)
+    sets: dict[int, set[str]] = {}  # names of ``out``, of those that were asked for
+    for new, mark in zip(segments, marks, strict=True):
+        many, own = len(new.episodes), int(np.bitwise_count(mark).sum())
         s, e = starts[:n], ends[:n]
         common, union = np.minimum(e, new.end) - np.maximum(s, new.start), np.maximum(e, new.end) - np.minimum(s, new.start)
         with np.errstate(all="ignore"):
-            near = np.flatnonzero((common > 0) & (union > 0) & (common / union > 0.5)).tolist()
-        for k in near:
+            near = np.flatnonzero((common > 0) & (union > 0) & (common / union > 0.5))
+        both = np.bitwise_count(held[near] & mark).sum(axis=1, dtype=np.int64)
+        most = np.minimum(spare[near] + both, np.where(once[near], many - own + both, sizes[near]))
+        least = np.minimum(sizes[near], many)
+        for k in near[(least > 0) & (most / np.maximum(least, 1) > 0.7)].tolist():
             at = int(place[k])
             old = out[at]
-            least = min(len(old.episodes), many)
-            shared = (masks[at] & mask).bit_count()
-            if shared and masks[at].bit_count() != len(old.episodes):  # a name more than once counts as often
-                shared = sum(x in new.episodes for x in old.episodes)
-            if least and shared / least > 0.7:
+            asked = set(new.episodes)
+            if once[k]:
+                if at not in sets:
+                    sets[at] = set(old.episodes)
+                shared = len(sets[at] & asked)
+            else:  # a name more than once counts as often
+                shared = sum(x in asked for x in old.episodes)
+            if shared / min(len(old.episodes), many) > 0.7:
                 old.start, old.end = min(old.start, new.start), max(old.end, new.end)
                 old.episodes, old.confidence = union_list(old.episodes, new.episodes), max(old.confidence, new.confidence)
-                masks[at] |= mask
-                starts[k], ends[k] = old.start, old.end
+                sets[at], once[k], held[k] = set(old.episodes), True, held[k] | mark
+                starts[k], ends[k], sizes[k] = old.start, old.end, len(old.episodes)
+                spare[k] = sizes[k] - int(np.bitwise_count(held[k]).sum())
                 break
         else:
             if n == len(place):
                 kept = np.flatnonzero(~(ends[:n] <= new.start)) if by_start else np.arange(n)
+                if by_start:
+                    alive = set(place[kept].tolist())
+                    sets = {at: x for at, x in sets.items() if at in alive}
                 grown = 2 * n if len(kept) > n // 2 else n
-                place, starts, ends = (np.concatenate([x[kept], np.empty(grown - len(kept), x.dtype)]) for x in (place, starts, ends))
+                place, starts, ends, sizes, spare, once, held = (np.concatenate([x[kept], np.empty((grown - len(kept), *x.shape[1:]), x.dtype)]) for x in (place, starts, ends, sizes, spare, once, held))
                 n = len(kept)
-            place[n], starts[n], ends[n] = len(out), new.start, new.end
+            place[n], starts[n], ends[n], sizes[n], spare[n], once[n], held[n] = len(out), new.start, new.end, many, many - own, len(set(new.episodes)) == many, mark
             n += 1
             out.append(_copy(new))
-            masks.append(mask)
     return out
 
 
@@ -389,13 +406,29 @@ def from_segments(segments: list[Segment]) -> pd.DataFrame:
 TIMINGS = pa.list_(pa.struct([("episode_name", pa.string()), ("start_time", pa.float64()), ("end_time", pa.float64())]))
 
 
+def _name_lists(column: pa.ChunkedArray) -> list[list[str]]:
+    """Lists of names, in which a name is one object however often it comes: segments may have many more names than there are sequences."""
+    out: list[list[str]] = []
+    known: dict[str, str] = {}
+    for chunk in column.chunks:
+        names = chunk.flatten()
+        if chunk.null_count or names.null_count:
+            out += chunk.to_pylist()
+            continue
+        coded = names.dictionary_encode()
+        each = np.array([known.setdefault(x, x) for x in coded.dictionary.to_pylist()], object)[coded.indices.to_numpy()]
+        ends = np.cumsum(chunk.value_lengths().to_numpy()).tolist()
+        out += [each[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+    return out
+
+
 def read_segments(table: pa.Table) -> list[Segment]:
     """The rows of a ``segments`` table; an unknown number is NaN, an unknown side None."""
     number = lambda c: [float("nan") if x is None else float(x) for x in table.column(c).to_pylist()]
     side = lambda c: [None if x is None or x != x else float(x) for x in table.column(c).to_pylist()]
     optional = lambda c, read: [None] * table.num_rows if table.column(c).null_count == table.num_rows else read(c)
     timings = lambda c: [x and [(t["episode_name"], t["start_time"], t["end_time"]) for t in x] for x in table.column(c).to_pylist()]
-    columns = number("start_time"), number("end_time"), table.column("episode_list").to_pylist(), number("confidence"), optional("episode_timings", timings), optional("video_confidence", side), optional("audio_confidence", side), table.column("match_type").to_pylist()
+    columns = number("start_time"), number("end_time"), _name_lists(table.column("episode_list")), number("confidence"), optional("episode_timings", timings), optional("video_confidence", side), optional("audio_confidence", side), table.column("match_type").to_pylist()
     return list(map(Segment, *columns))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming, rotate_left, window_hash
 
+#: Frames of a window that are had one by one; wider windows are had as lists, which cost more a frame.
+LAGS = 16
+
 
 def _order(key: str = "episode_id") -> Window:
     return Window.partitionBy(key).orderBy("frame_idx")
@@ -17,18 +22,34 @@ def series_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c == "series"]
 
 
+def _windows(frames: DataFrame, widths: list[int]) -> DataFrame:
+    """A row per full window of each width, all widths in one pass over the frames."""
+    window, most = _order(), min(max(widths), LAGS)
+    starts = [F.lag("ts", k - 1).over(window).alias(f"start{k}") for k in widths]
+    words = [F.lag("hash", i).over(window).alias(f"word{i}") for i in range(most) if min(widths) <= LAGS]
+    lists = [F.collect_list("hash").over(window.rowsBetween(1 - k, 0)).alias(f"list{k}") for k in widths if k > LAGS]
+    rows = frames.select("episode_id", "frame_idx", F.col("ts").alias("end_time"), *series_of(frames), *starts, *words, *lists)
+
+    def full(k: int) -> Column:
+        """The words of a window; null unless all are there."""
+        if k > LAGS:
+            return F.when(F.size(f"list{k}") == k, F.col(f"list{k}"))
+        last = [F.col(f"word{i}") for i in reversed(range(k))]
+        return F.when(reduce(Column.__and__, [c.isNotNull() for c in last]), F.array(*last))
+
+    made = [F.struct(full(k).alias("w"), F.col(f"start{k}").alias("start_time")) for k in widths]
+    kept = rows.select("episode_id", "frame_idx", "end_time", *series_of(frames), *([F.inline(F.array(*made))] if made[1:] else [made[0]["w"].alias("w"), made[0]["start_time"].alias("start_time")]))
+    return kept.filter("w IS NOT NULL").select(window_hash(F.col("w")).alias("hash"), "episode_id", "frame_idx", "start_time", "end_time", *series_of(frames))
+
+
 def rolling_hash(frames: DataFrame, width: int) -> DataFrame:
     """WIN-1: a row per full window of ``width`` frames (seq_hashes): hash, episode_id, frame_idx of its end, start_time, end_time, and the series if there is one."""
-    window = _order()
-    values = F.collect_list("hash").over(window.rowsBetween(1 - width, 0))
-    rows = frames.select("episode_id", "frame_idx", F.lag("ts", width - 1).over(window).alias("start_time"), F.col("ts").alias("end_time"), values.alias("w"), *series_of(frames))
-    return rows.filter(F.size("w") == width).select(window_hash(F.col("w")).alias("hash"), "episode_id", "frame_idx", "start_time", "end_time", *series_of(frames))
+    return _windows(frames, [width])
 
 
 def with_opening_window(frames: DataFrame, width: int, opening: int = 3) -> DataFrame:
     """WIN-2: windows of ``width`` and, when shorter, of the opening width."""
-    out = rolling_hash(frames, width)
-    return out.unionByName(rolling_hash(frames, opening)) if opening < width else out
+    return _windows(frames, [width, opening] if opening < width else [width])
 
 
 def analysis_vector(frames: DataFrame, width: int = 5) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig, window_size
@@ -53,12 +53,15 @@ def in_series(rows: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def _or_else(found: DataFrame, frames: DataFrame, fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``found``, and what ``fallback`` finds in series without any. Written, since it is read twice."""
-    found = materialize(found, "found")
+    found = materialize(found, "found", tidy=True)
     done = found.select("series").distinct()
     if done.isEmpty():
         return fallback(frames)
-    rest = materialize(frames.join(done.hint("merge"), "series", "left_anti"), "rest")
-    return found if rest.isEmpty() else found.unionByName(fallback(rest))
+    # Asked of the series alone first, which mostly needs no more of the frames than their ids.
+    if frames.select("series").distinct().join(done.hint("merge"), "series", "left_anti").isEmpty():
+        return found
+    rest = materialize(frames.join(done.hint("merge"), "series", "left_anti"), "rest", tidy=True)
+    return found.unionByName(fallback(rest))
 
 
 def _ordered(segments: DataFrame) -> DataFrame:
@@ -130,9 +133,17 @@ def _spans(groups: DataFrame, cfg: DetectConfig) -> DataFrame:
 
 def full_duplicates(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-V0, SRT-3: clusters of sequences of equal length that are the same nearly throughout."""
-    frames = in_series(frames, episodes)
-    found = components(joins.duplicate_links(windows.identity_sample(frames)))
-    spans = frames.groupBy("series", "episode_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    return _full_duplicates(in_series(frames, episodes), episodes, cfg)
+
+
+def _full_duplicates(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """:func:`full_duplicates` of frames that have their series."""
+    own = Window.partitionBy("episode_id")
+    frames = frames.withColumns({"start_time": F.min("ts").over(own), "end_time": F.max("ts").over(own)})
+    # Written, since it is read again and again; it has rows of each sequence.
+    sampled = materialize(windows.identity_sample(frames).drop("ts"), "sampled", tidy=True)
+    found = components(joins.duplicate_links(sampled.drop("start_time", "end_time")))
+    spans = sampled.groupBy("series", "episode_id").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
     rows = found.join(spans, found.node == spans.episode_id)
     groups = rows.groupBy("series", "component").agg(F.min_by("start_time", "node").alias("start_time"), F.min_by("end_time", "node").alias("end_time"), F.collect_set("node").alias("episodes"))
     return _rows(_named(_spans(groups, cfg), episodes), "video", "start_time", "end_time", "names", "one").orderBy("series", "start_time", F.size("episode_list"))
@@ -162,8 +173,13 @@ def _least_frames(frames: DataFrame) -> int:
 
 def similar_windows(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
     """DET-V2's groups of equal or similar windows (AGG-1, AGG-2), merged."""
+    return _similar_windows(in_series(frames, episodes), episodes, cfg)
+
+
+def _similar_windows(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """:func:`similar_windows` of frames that have their series."""
     width = cfg.window_frames or window_size(_least_frames(frames), cfg.min_duration)
-    hashes = windows.with_opening_window(in_series(frames, episodes), width)
+    hashes = windows.with_opening_window(frames, width)
     if cfg.max_distance:
         numbered = hashes.withColumn("id", F.xxhash64("episode_id", "frame_idx", "start_time"))
         leaders = joins.leader_clusters(numbered.select("id", "hash", "series"), cfg.max_distance).select("id", "leader")
@@ -177,8 +193,8 @@ def current(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFr
     """DET-V2: full duplicates, else groups of similar windows, else time-shifted regions."""
     own = in_series(frames, episodes)
     by_time = lambda rest: time_shifted(rest, episodes, cfg)
-    by_window = lambda rest: _or_else(similar_windows(rest, episodes, cfg), rest, by_time)
-    return _ordered(_or_else(full_duplicates(own, episodes, cfg), own, by_window))
+    by_window = lambda rest: _or_else(_similar_windows(rest, episodes, cfg), rest, by_time)
+    return _ordered(_or_else(_full_duplicates(own, episodes, cfg), own, by_window))
 
 
 def shift_matches(h1: np.ndarray, t1: np.ndarray, h2: np.ndarray, t2: np.ndarray, min_duration: float) -> list[tuple[int, int, float]]:
@@ -284,7 +300,7 @@ def _after_whole_matches(frames: DataFrame, episodes: DataFrame, cfg: DetectConf
     """Full duplicates, else openings, else what ``detector`` finds."""
     own = in_series(frames, episodes)
     by_opening = lambda rest: _or_else(opening(rest, episodes, cfg), rest, lambda left: detector(left, episodes, cfg))
-    return _ordered(_or_else(full_duplicates(own, episodes, cfg), own, by_opening))
+    return _ordered(_or_else(_full_duplicates(own, episodes, cfg), own, by_opening))
 
 
 def multi_hash(frames: DataFrame, episodes: DataFrame, cfg: DetectConfig) -> DataFrame:

@@ -230,9 +230,11 @@ LINE_WINDOWS = f"{_rolled(6)}, {_rolled(3).replace('w0', 'v0').replace('r AS', '
 
 @query("detv2_current", f"WITH {LINES}, {LINE_WINDOWS}, {_groups_sql('rq', 4, 2, chr(39) + 's' + chr(39) + ' || episode_id::VARCHAR', 'episode_id % 2')}, {_deduplicated('i')}, {_merged('dd')} SELECT {SHOWN} FROM mg")
 def detv2(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    place = F.row_number().over(order) - 1
-    frames = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("episode_id"), place.alias("frame_idx"), place.cast("double").alias("ts"), text_hash((F.col("l_partkey") % 30).cast("string")).alias("hash"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("episode_id"), "l_orderkey", "l_linenumber", "l_partkey")
+    # By the renamed column, as all that follows, so that lines are dealt out once.
+    order = Window.partitionBy("episode_id").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    placed = lines.withColumn("frame_idx", F.row_number().over(order) - 1)
+    frames = placed.select("episode_id", "frame_idx", F.col("frame_idx").cast("double").alias("ts"), text_hash((F.col("l_partkey") % 30).cast("string")).alias("hash"))
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("episode_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), (F.col("s_suppkey") % 2).alias("series"))
     return _shown(detectors.current(frames, names, DetectConfig(threshold=4, min_duration=2.0, similarity_threshold=1.0, window_frames=6)))
 

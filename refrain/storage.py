@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Whether Spark deletes a query's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +33,22 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/refrain-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-computation.
+    Cuts the lineage: a lost executor costs a re-read, not a re-computation. With ``tidy`` the
+    shuffle files of the write go when it is done, not when the driver collects its garbage.
     """
-    path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, tag)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

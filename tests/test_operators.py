@@ -212,6 +212,34 @@ def test_deduplicate_is_the_plain_fold(most, ordered):
         assert folds.deduplicate(found) == plain_deduplicate(found)
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_deduplicate_with_names_that_share_marks(twice):
+    """Three hundred sequences, of which a segment has few: several names have the same mark, and some segments are near copies."""
+    rng = random.Random(5)
+    names, pool, found = [f"s{i}" for i in range(300)], [], []
+    for _ in range(600):
+        own = rng.sample(rng.choice(pool), 7) + rng.sample(names, 2) if pool and rng.random() < 0.4 else rng.sample(names, rng.randrange(7, 13))
+        own = own + own[:4] if twice and rng.random() < 0.3 else own if twice else list(dict.fromkeys(own))
+        pool.append(own)
+        found.append(seg(s := rng.randrange(40) / 4, s + 2, rng.random(), own))
+    assert folds._marks(found).shape[1] < 5
+    for order in (found, sorted(found, key=lambda s: (s.start, s.end, s.episodes))):
+        made = folds.deduplicate(order)
+        assert made == plain_deduplicate(order) and len(made) < len(found)
+
+
+def test_both_widths_are_made_in_one_pass(spark, tmp_path):
+    path = str(tmp_path / "frames")
+    frames(spark, {0: [1, 2, None, 4, 5, 6, 7], 1: [7, 7, 7, 7, 7]}).write.parquet(path)
+    stored = spark.read.parquet(path)
+    made = windows.with_opening_window(stored, 4)
+    assert made._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    one_by_one = windows.rolling_hash(stored, 4).unionByName(windows.rolling_hash(stored, 3))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, one_by_one.collect())) != []
+    wide = windows.rolling_hash(frames(spark, {0: list(range(1, 31))}), windows.LAGS + 1)
+    assert wide.count() == 30 - windows.LAGS and wide.agg({"start_time": "max"}).first()[0] == 30 - windows.LAGS - 1
+
+
 def test_deduplicate_and_merge_are_not_quadratic():
     """A thousand sequences, of which each segment has fifty: the plain fold takes minutes for these."""
     import time
